@@ -1,10 +1,10 @@
 """Operators for preparing training data. Nothing outside this package imports it."""
 
-from . import secret_scan, token_counts, token_output
+from . import mixture, secret_scan, sharding, token_counts, token_output
 
 
 def queries() -> dict:
-    found = (secret_scan.op1_secret_scan, token_counts.op6_token_counts, token_output.op7_token_output)
+    found = (secret_scan.op1_secret_scan, mixture.op3_source_mix, token_counts.op6_token_counts, token_output.op7_token_output, sharding.op8_sharding)
     return {f.__name__: f for f in found}
 
 
