@@ -1,10 +1,18 @@
 """Operators for preparing training data. Nothing outside this package imports it."""
 
-from . import mixture, secret_scan, sharding, token_counts, token_output
+from . import mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def queries() -> dict:
-    found = (secret_scan.op1_secret_scan, mixture.op3_source_mix, token_counts.op6_token_counts, token_output.op7_token_output, sharding.op8_sharding)
+    found = (
+        secret_scan.op1_secret_scan,
+        mixture.op3_source_mix,
+        simhash.op5_simhash,
+        token_counts.op6_token_counts,
+        token_output.op7_token_output,
+        sharding.op8_sharding,
+        quality_cnn.op9_quality,
+    )
     return {f.__name__: f for f in found}
 
 
