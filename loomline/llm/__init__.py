@@ -1,11 +1,12 @@
 """Operators for preparing training data. Nothing outside this package imports it."""
 
-from . import mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
+from . import decontaminate, mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def queries() -> dict:
     found = (
         secret_scan.op1_secret_scan,
+        decontaminate.op2_decontaminate,
         mixture.op3_source_mix,
         simhash.op5_simhash,
         token_counts.op6_token_counts,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
