@@ -1,6 +1,6 @@
 """Operators for preparing training data. Nothing outside this package imports it."""
 
-from . import decontaminate, mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
+from . import ann, decontaminate, mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         token_output.op7_token_output,
         sharding.op8_sharding,
         quality_cnn.op9_quality,
+        ann.op10_neighbours,
     )
     return {f.__name__: f for f in found}
 
