@@ -1,6 +1,6 @@
 """Operators for preparing training data. Nothing outside this package imports it."""
 
-from . import ann, decontaminate, mixture, quality_cnn, secret_scan, sharding, simhash, token_counts, token_output
+from . import ann, decontaminate, mixture, quality_cnn, secret_scan, sharding, simhash, suffix_dedup, token_counts, token_output
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         secret_scan.op1_secret_scan,
         decontaminate.op2_decontaminate,
         mixture.op3_source_mix,
+        suffix_dedup.op4_suffix_dedup,
         simhash.op5_simhash,
         token_counts.op6_token_counts,
         token_output.op7_token_output,
