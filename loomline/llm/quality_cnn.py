@@ -46,14 +46,14 @@ def mark_repeats(flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other, each followed by zeros so that no chunk or repetition touches two, and their starts (in steps)."""
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts one after the other, each followed by zeros so that no repetition touches two, and where the chunks of each begin and stop (in steps)."""
     sizes = np.array([(len(t) + GAP + 1) // STEP * STEP for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     flat = np.zeros(int(ends[-1]) + WIDTH, dtype=np.uint8)
     for t, end, size in zip(texts, ends, sizes):
         flat[end - size : end - size + len(t)] = np.frombuffer(t, np.uint8)
-    return mark_repeats(flat), (ends - sizes) // STEP
+    return mark_repeats(flat), (ends - sizes) // STEP, (ends - WIDTH) // STEP + 1
 
 
 class ByteCnn:
@@ -77,14 +77,14 @@ class ByteCnn:
         self.pairs = [(t[w][:, None, :] + t[w + 1][None, :, :]).reshape(65536, FILTERS) for w in range(0, WIDTH, 2)]
         return self
 
-    def maxima(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Maximum of each filter over each of the texts laid out in ``flat``."""
+    def activations(self, flat: np.ndarray) -> np.ndarray:
+        """Each filter at each chunk of ``flat``."""
         both = flat[: len(flat) // 2 * 2 : 2].astype(np.int32) * 256 + flat[1::2]
         n = len(both) - WIDTH // 2 + 1
         act = np.take(self.pairs[0], both[:n], axis=0)
         for k in range(1, WIDTH // 2):
             act += np.take(self.pairs[k], both[k : k + n], axis=0)
-        return np.maximum.reduceat(act, starts, axis=0)
+        return act
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text; texts are taken about a megabyte at a time."""
@@ -98,13 +98,13 @@ class ByteCnn:
         return np.concatenate([*out, self._scores(held)]) if held else np.empty(0)
 
     def _scores(self, texts: list[bytes]) -> np.ndarray:
-        flat, starts = laid_out(texts)
+        flat, starts, stops = laid_out(texts)
         if len(texts) == 1:  # the maxima of overlapping parts give those of the whole
-            parts = [self.maxima(flat[a : a + CHUNK + WIDTH], starts) for a in range(0, max(len(flat) - WIDTH, 1), CHUNK)]
-            top = np.max(parts, axis=0)
+            flat = flat[: stops[0] * STEP + WIDTH - STEP]
+            top = np.max([self.activations(flat[a : a + CHUNK + WIDTH]).max(axis=0) for a in range(0, len(flat) - WIDTH + 1, CHUNK)], axis=0)
         else:
-            top = self.maxima(flat, starts)
-        z = np.maximum(top + self.p["bias"], 0) @ self.p["out"] + self.p["shift"]
+            top = np.maximum.reduceat(self.activations(flat), np.column_stack([starts, stops]).ravel(), axis=0)[::2]
+        z = np.maximum(np.atleast_2d(top) + self.p["bias"], 0) @ self.p["out"] + self.p["shift"]
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def fit(self, texts: list[bytes], labels: list[int], seed: int = 11) -> ByteCnn:
@@ -131,13 +131,12 @@ class ByteCnn:
     def _gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         t = self.tables()
-        flat, starts = laid_out(texts)
+        flat, starts, stops = laid_out(texts)
         n = (len(flat) - WIDTH) // STEP + 1
         act = np.take(t[0], flat[: n * STEP : STEP], axis=0)
         for w in range(1, WIDTH):
             act += np.take(t[w], flat[w : w + n * STEP : STEP][:n], axis=0)
-        ends = np.append(starts[1:], n)
-        at = np.array([a + act[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
+        at = np.array([a + act[a:b].argmax(axis=0) for a, b in zip(starts, stops)])
         pre = act[at, np.arange(FILTERS)] + p["bias"]
         hidden = np.maximum(pre, 0)
         prob = 1 / (1 + np.exp(-np.clip(hidden @ p["out"] + p["shift"], -60, 60)))
