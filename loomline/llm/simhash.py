@@ -98,9 +98,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """One row of ``docs`` for each group: that whose doc_id names it.
+
+    Where rows repeat a doc_id, each different text of the doc_id that names a group stays once; a group without any doc_id keeps its rows.
+    """
+    found = settle(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
