@@ -12,11 +12,13 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_to
     Only tokens that queries ask for leave the scan of the documents: counts of a document are summed in place, and what is
     shuffled is one row for each document and asked token.
     """
-    lengths = docs.select(doc_id, F.size(doc_tokens).alias("__len"))
+    # The array is bound once in a lambda: a length projected beside the explode would tokenise the text again for every token.
+    counted = F.transform(F.array(doc_tokens), lambda t: F.transform(t, lambda x: F.struct(F.size(t).alias("__len"), x.alias("token"))))[0]
+    lengths = docs.select(F.size(doc_tokens).alias("__len"))
     totals = lengths.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"))
     asked = queries.select(query_id, F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("__times"))
     wanted = asked.select("token").distinct()
-    tf = docs.select(doc_id, F.size(doc_tokens).alias("__len"), F.explode(doc_tokens).alias("token")).join(wanted, "token", "left_semi")
+    tf = docs.select(doc_id, F.explode(counted).alias("x")).select(doc_id, "x.__len", "x.token").join(wanted, "token", "left_semi")
     tf = tf.groupBy(doc_id, "__len", "token").agg(F.count("*").alias("__tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("__df"))
     hits = tf.join(df, "token").join(F.broadcast(totals)).join(asked, "token")  # totals: one row
