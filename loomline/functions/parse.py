@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Chinese digits, words of comparison before and after a number, grades from best to worst.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -14,6 +15,8 @@ BEFORE = {"不少于": ">=", "不低于": ">=", "至少": ">=", "不超过": "<=
 AFTER = {"以上": ">=", "以下": "<=", "以内": "<=", "or more": ">=", "or less": "<="}
 UNITS = {"年": "year", "years": "year", "天": "day", "日": "day", "days": "day", "人": "person", "persons": "person", "台": "set", "sets": "set"}
 
+CLAIMS = T.ArrayType(T.StructType().add("unit", T.StringType()).add("operator", T.StringType()).add("value", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
+OBJECT = T.StructType().add("object", T.StringType()).add("method", T.StringType())
 CLAIM = re.compile(r"(\d+(?:\.\d+)?|[零〇一二两三四五六七八九十百]+)\s*(" + "|".join(UNITS) + r")(?![a-z])")
 
 
@@ -95,16 +98,16 @@ def parsed_object(text: str | None) -> tuple[str | None, str]:
     return None, "failed"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def number_value(raw: pd.Series) -> pd.Series:
     return raw.map(chinese_number)
 
 
-@F.pandas_udf("array<struct<unit:string,operator:string,value:double,start:int,end:int>>")
+@F.pandas_udf(CLAIMS)
 def claims(text: pd.Series) -> pd.Series:
     return text.map(claims_of)
 
 
-@F.pandas_udf("struct<object:string,method:string>")
+@F.pandas_udf(OBJECT)
 def json_object(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(text.map(parsed_object).tolist(), columns=["object", "method"])
