@@ -39,7 +39,7 @@ SENSITIVE = {
 HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|example|changeme|your[_-].*|x{3,}|\*+|\$\{.*|\{\{.*|<.*|%.*%|env[.(].*|os[.]environ.*)$")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
 #: Least score of a literal that is reported, and its least length.
-LEAST_SCORE, LEAST_LENGTH = 4.0, 8
+LEAST_SCORE, LEAST_LENGTH = 3.5, 8
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string"
 
