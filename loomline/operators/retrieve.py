@@ -46,3 +46,27 @@ def with_minimum(df: DataFrame, by: list[str], k: int, least: int, has: Column,
     w = Window.partitionBy(*by).orderBy(*order)
     ranked = df.withColumn("rank", F.row_number().over(w)).withColumn("__have", F.sum(has.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return ranked.where((F.col("rank") <= k) | (has & (F.col("__have") <= least))).drop("__have")
+
+
+def with_group_members(df: DataFrame, by: list[str], order: list, k: int, grouped: Column) -> DataFrame:
+    """The first k rows of each group, and every later row that belongs to a kept group of its own (``grouped``)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(w)).where((F.col("__n") <= k) | F.coalesce(grouped, F.lit(False))).drop("__n")
+
+
+def rerank_bonus(type_: Column, intent: Column, weights: dict[str, dict[str, float]], intents: Column, tags: Column, title_tokens: Column, asked: Column, risk: Column, risky: tuple = (), evidence: tuple = ()) -> Column:
+    """Additive bonus: type under intent, 1.2 for a stated intent, 0.5 for a tag, 0.7 for a title token, 0.6 for high risk and 0.4 for evidence where the intent calls for it."""
+    bonus = F.lit(0.0)
+    for i, by_type in weights.items():
+        for t, w in by_type.items():
+            bonus = bonus + F.when((intent == i) & (type_ == t), w).otherwise(0.0)
+    share = lambda a: F.coalesce(F.arrays_overlap(a, asked), F.lit(False))
+    bonus = bonus + F.when(F.coalesce(F.array_contains(intents, intent), F.lit(False)), 1.2).otherwise(0.0)
+    bonus = bonus + F.when(share(tags), 0.5).otherwise(0.0) + F.when(share(title_tokens), 0.7).otherwise(0.0)
+    bonus = bonus + F.when(intent.isin(*risky) & (risk == "high"), 0.6).otherwise(0.0)
+    return bonus + F.when(intent.isin(*evidence) & (type_ == "rag_evidence"), 0.4).otherwise(0.0)
+
+
+def fit_level(score: Column, rejected: Column, preferred: float = 70, candidate: float = 35) -> Column:
+    """preferred, candidate or review_only."""
+    return F.when(rejected, "review_only").when(score >= preferred, "preferred").when(score >= candidate, "candidate").otherwise("review_only")

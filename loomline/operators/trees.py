@@ -34,3 +34,12 @@ def subtree_sums(rows: DataFrame, path: str, *measures: str) -> DataFrame:
 
     spread = rows.select(F.explode(prefixes(F.col(path))).alias(path), *measures)
     return spread.groupBy(path).agg(*(F.sum(m).alias(f"subtree_{m}") for m in measures))
+
+
+def trimmed(nodes: DataFrame, node: str, parent: str, order: str, per_parent: int, total: int) -> DataFrame:
+    """Of the children of each parent the first ``per_parent``, and of these the first ``total`` under each grandparent group ``root``."""
+    from pyspark.sql import Window
+
+    first = nodes.withColumn("__n", F.row_number().over(Window.partitionBy(parent).orderBy(order, node))).where(F.col("__n") <= per_parent)
+    running = F.row_number().over(Window.partitionBy("root").orderBy(parent, "__n"))
+    return first.withColumn("__t", running).where(F.col("__t") <= total).drop("__n", "__t")
