@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 BEFORE = {"不少于": ">=", "不低于": ">=", "至少": ">=", "不超过": "<=", "不大于": "<=", "at least": ">=", "at most": "<=", "no more than": "<="}
 AFTER = {"以上": ">=", "以下": "<=", "以内": "<=", "or more": ">=", "or less": "<="}
+GRADES = ("特级", "一级", "二级", "三级", "四级")
+GRADED = "资质|施工总承包|专业承包"
 UNITS = {"年": "year", "years": "year", "天": "day", "日": "day", "days": "day", "人": "person", "persons": "person", "台": "set", "sets": "set"}
 
 CLAIMS = T.ArrayType(T.StructType().add("unit", T.StringType()).add("operator", T.StringType()).add("value", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
@@ -58,6 +60,22 @@ def claims_of(text: str | None) -> list[dict]:
     return out
 
 
+GRADE = re.compile(f"({'|'.join(GRADES)}).{{0,12}}(?:{GRADED})|(?:{GRADED}).{{0,12}}({'|'.join(GRADES)})")
+
+
+def grades_of(text: str | None) -> list[dict]:
+    """Grades of qualification as ranks, the best being 0, with the comparison stated nearby.
+
+    The comparison is applied to the rank as it stands, so "at least grade two" asks for ranks of 2 and more.
+    """
+    out = []
+    for m in GRADE.finditer(text or ""):
+        before, after = text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 8]
+        op = next((o for w, o in BEFORE.items() if w in before), None) or next((o for w, o in AFTER.items() if w in after), "==")
+        out.append({"unit": "grade_rank", "operator": op, "value": float(GRADES.index(m[1] or m[2])), "start": m.start(), "end": m.end()})
+    return out
+
+
 def object_text(text: str) -> str | None:
     """The first balanced JSON object, braces inside strings apart."""
     start = text.find("{")
@@ -108,6 +126,11 @@ def claims(text: pd.Series) -> pd.Series:
     return text.map(claims_of)
 
 
+@F.pandas_udf(CLAIMS)
+def grades(text: pd.Series) -> pd.Series:
+    return text.map(grades_of)
+
+
 @F.pandas_udf(OBJECT)
 def json_object(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(text.map(parsed_object).tolist(), columns=["object", "method"])

@@ -191,3 +191,23 @@ def tokens_quarter(c: Column) -> Column:
 def tokens_dense(chars: Column) -> Column:
     """A token for every 1.8 characters, rounded up."""
     return F.ceil(chars / 1.8)
+
+
+def heading(text: Column, style: Column) -> Column:
+    """(level, number, title) of a paragraph that is a heading, else null: numbered, or short and of a heading style; contents lines are none."""
+    t = F.trim(F.regexp_replace(blank(text), r"\s+", " "))
+    low = F.lower(blank(style))
+    number = title_number(t)
+    contents = low.startswith("toc") | t.rlike(r"(\.{3,}|…+|\t)\s*\d+$")
+    styled = low.rlike(r"heading|标题") & (F.length(t) <= 60) & ~t.rlike("[。；;]$")
+    style_level = F.coalesce(F.regexp_extract(low, r"(\d+)", 1).try_cast("int"), F.lit(1))
+    numbered = F.struct(F.size(F.split(number, r"\.")).alias("level"), number.alias("number"), F.concat_ws(" ", number, title_text(t)).alias("title"))
+    plain = F.struct(style_level.alias("level"), F.lit(None).cast("string").alias("number"), t.alias("title"))
+    return F.when((t == "") | contents, F.lit(None)).when(number.isNotNull(), numbered).when(styled, plain)
+
+
+def caption(text: Column, most: int = 64) -> Column:
+    """A caption without marks around it; empty if it is a path, a table row, too long or only digits."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(blank(text), r"^[|；;、，,\s]+|[|；;、，,\s]+$", ""), r"\s+", " "))
+    bad = t.contains(" > ") | (F.length(t) - F.length(F.replace(t, F.lit("|"))) >= 2) | (F.length(t) > most) | t.rlike(r"^\d+$")
+    return F.when(bad, F.lit("")).otherwise(t)

@@ -42,3 +42,22 @@ def material_search(spark, d):
         F.col("p_size").alias("table_count"), (F.col("p_size") % 4).alias("image_count"), quality.alias("quality"),
     )
     return search.material_search(slices, "large widget economy", ":economy", [], 25).select("id", "score")
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS id, list_distinct(list_concat(list_transform(regexp_extract_all(p_name || ' ' || p_type, '[A-Za-z0-9]{2,}'), lambda y: lower(y)), [replace(lower(p_name || ' ' || p_type), ' ', '')])) AS w, ':' || lower(p_type) AS own, p_size AS t, p_size % 4 AS i FROM part),
+n AS (SELECT n_nationkey, p_name || ' widget' AS q, CASE WHEN n_nationkey % 2 = 0 THEN ':' || lower(p_type) ELSE '' END AS k FROM nation JOIN part ON p_partkey = n_nationkey),
+m AS (SELECT n_nationkey, k, list_distinct(list_concat(list_transform(regexp_extract_all(q, '[A-Za-z0-9]{2,}'), lambda y: lower(y)), [replace(lower(q), ' ', '')])) AS w FROM n),
+x AS (SELECT n_nationkey AS node_id, id, round(CASE WHEN k = own THEN 3.0 ELSE 0 END + len(list_intersect(m.w, s.w)) / len(m.w)::DOUBLE + least(t, 5) * 0.03 + least(i, 5) * 0.02, 4) AS score FROM m, s WHERE k = own OR len(list_intersect(m.w, s.w)) > 0)
+SELECT node_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 5""")
+def node_materials(spark, d):
+    from ..plans.nodes import materials_by_node
+
+    part = table(spark, d, "part")
+    slices = part.select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("search_text"), X.section_key(F.array("p_type")).alias("section_key"), F.col("p_size").alias("table_count"), (F.col("p_size") % 4).alias("image_count"), F.lit("usable").alias("quality"),
+    )
+    nodes = table(spark, d, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey"))
+    key = F.when(F.col("n_nationkey") % 2 == 0, X.section_key(F.array("p_type"))).otherwise("")
+    out = materials_by_node(nodes.select(F.col("n_nationkey").alias("node_id"), F.concat("p_name", F.lit(" widget")).alias("query"), key.alias("path_key")), slices, 5)
+    return out.select("node_id", F.col("rank").cast("long").alias("rank"), "id", "score")
