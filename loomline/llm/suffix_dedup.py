@@ -184,8 +184,8 @@ def _laid_out(batch):
             yield key, flat, prefix_sums(flat), base, start, n, at, np.array([s["anchor"] for s in part]).view(np.uint64), np.array([s["alone"] for s in part])
 
 
-def cell_table(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The cells of the segments in ``places``, written as segments (anchor: what all windows of the cell share), and alone."""
+def cell_table(opened: DataFrame) -> DataFrame:
+    """The cells of the segments of ``opened`` (row, text, segments), written as segments (anchor: what all windows of the cell share), and alone."""
 
     def run(batches):
         import pyarrow as pa
@@ -207,11 +207,11 @@ def cell_table(rows: DataFrame, places: DataFrame) -> DataFrame:
                 ints = [pa.array(x.astype(np.int32)) for x in (start[w] + i, size, at[w] - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key)), *ints, _signed(core), _signed(content), pa.array(alone[w])], names=["row", "start", "n", "at", "anchor", "content", "alone"])
 
-    return with_places(rows, places, "inner").mapInArrow(run, f"{SEGMENT}, alone boolean")
+    return opened.mapInArrow(run, f"{SEGMENT}, alone boolean")
 
 
-def suffix_table(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """lead, content, row, start, alone of every suffix of the segments in ``places``."""
+def suffix_table(opened: DataFrame) -> DataFrame:
+    """lead, content, row, start, alone of every suffix of the segments of ``opened`` (row, text, segments)."""
 
     def run(batches):
         import pyarrow as pa
@@ -230,7 +230,7 @@ def suffix_table(rows: DataFrame, places: DataFrame) -> DataFrame:
                     names=["lead", "content", "row", "start", "alone"],
                 )
 
-    return with_places(rows, places, "inner").mapInArrow(run, "lead long, content long, row long, start int, alone boolean")
+    return opened.mapInArrow(run, "lead long, content long, row long, start int, alone boolean")
 
 
 def with_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -285,7 +285,8 @@ def settled_kinds(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int
     twice.  ``alone`` marks the open ones that nothing has shown to be repeated.
     """
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") == F.max("content")).alias("uniform")).where("c > 1")
-    shared = settle(segs.join(anchors.select("anchor", "uniform"), "anchor"), f"{name}-shared")
+    anchors = settle(anchors.select("anchor", "uniform"), f"{name}-anchors")  # written, so that the join may split a common anchor
+    shared = settle(segs.join(anchors, "anchor"), f"{name}-shared")
     mixed = shared.where("not uniform")
     kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "at")).alias("s"), F.min("alone").alias("alone"))
     kinds = settle(kinds, f"{name}-kinds")
@@ -296,16 +297,6 @@ def settled_kinds(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int
     return known, settle(places, f"{name}-places"), kinds.agg(F.sum("s.n")).first()[0] or 0
 
 
-def repeated_places(docs: DataFrame) -> DataFrame:
-    """row, segments (start, n): windows of each row of ``_rows(docs)`` that are repeated."""
-    rows = _rows(docs)
-    known, places, _ = settled_kinds(settle(segment_table(rows), "segments").withColumn("alone", F.lit(True)), "segment")
-    more, places, n = settled_kinds(settle(cell_table(rows, places), "cells"), "cell")
-    single = repeated_suffixes(suffix_table(rows, places), n).select("row", "start", F.lit(1).alias("n"))
-    found = known.unionByName(more).unionByName(single)
-    return settle(found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("segments")), "repeated-places")
-
-
 def merged(segs: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the windows cover."""
     out: list[list[int]] = []
@@ -317,6 +308,27 @@ def merged(segs: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def repeated_places(docs: DataFrame) -> DataFrame:
+    """row, segments (start, end): maximal runs of repeated bytes in each row of ``_rows(docs)`` that has any."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merged(s)] for s in batch.column("segments").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, kind)], names=["row", "segments"])
+
+    rows = _rows(docs)
+    known, places, _ = settled_kinds(settle(segment_table(rows), "segments").withColumn("alone", F.lit(True)), "segment")
+    opened = settle(with_places(rows.select("row", "text"), places, "inner"), "open-texts")  # the few texts that are looked at again
+    more, places, n = settled_kinds(settle(cell_table(opened), "cells"), "cell")
+    single = repeated_suffixes(suffix_table(with_places(opened.select("row", "text"), places, "inner")), n).select("row", "start", F.lit(1).alias("n"))
+    found = known.unionByName(more).unionByName(single)
+    grouped = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("segments"))
+    return settle(grouped.mapInArrow(run, "row long, segments array<struct<start:int,end:int>>"), "repeated-places")
+
+
 def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for s in spans for x in s), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -335,7 +347,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, segs in zip(batch.column("text").to_pylist(), batch.column("segments").to_pylist()):
-                data, spans = text.encode(), merged(segs)
+                data, spans = text.encode(), [(s["start"], s["end"]) for s in segs or ()]
                 out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)))
             cols = list(zip(*out)) if out else [()] * 5
             types = [pa.int64()] * 3 + [pa.string()] * 2
