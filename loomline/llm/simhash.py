@@ -105,7 +105,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = settle(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    # Documents are shuffled to their ids at every size: the list of ids grows with them, so it is not for broadcasting.
+    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
