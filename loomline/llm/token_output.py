@@ -9,7 +9,9 @@ differences that do not fit in an exception list (position and high bits).  Layo
     u64 byte offset of each block start
     blocks: u32 minimum | u8 width | u8 exceptions | packed bits | u8 positions | u32 high parts
 
-Files are named by their place in doc_id order, written under another name and then renamed, so that a
+A file of documents without doc_id has the magic "LPN1" and no doc_ids.
+
+Files are named by their place in doc_id order, those without doc_id after all others, written under another name and then renamed, so that a
 task that runs again replaces what it wrote with the same bytes.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .token_counts import ByteAlphabet, Remembered, vocabulary_path
 
-MAGIC = b"LPF1"
+MAGIC, MAGIC_NULL = b"LPF1", b"LPN1"
 BLOCK = 128
 PERCENTILE = 90
 #: Any other character sends a text to the library whole.
@@ -93,8 +95,8 @@ def _pack(values: np.ndarray, widths: np.ndarray) -> list[bytes]:
     return out
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file image of documents ``doc_ids`` with ``counts`` ids each, concatenated in ``ids``."""
+def encode_file(doc_ids: np.ndarray | None, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """The file image of documents ``doc_ids`` (None: they have no doc_id) with ``counts`` ids each, concatenated in ``ids``."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     padded = np.empty(blocks * BLOCK, dtype=np.uint32)
@@ -120,20 +122,22 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byt
             part = struct.pack("<IBB", low[first + i], widths[i], b - a) + packed[i] + places[a:b].tobytes() + high[a:b].tobytes()
             parts.append(part)
             at += len(part)
-    head = MAGIC + struct.pack("<IQI", len(doc_ids), n, blocks)
-    return head + np.asarray(doc_ids, "<i8").tobytes() + np.asarray(counts, "<u4").tobytes() + starts.tobytes() + b"".join(parts)
+    head = (MAGIC_NULL if doc_ids is None else MAGIC) + struct.pack("<IQI", len(counts), n, blocks)
+    return head + (b"" if doc_ids is None else np.asarray(doc_ids, "<i8").tobytes()) + np.asarray(counts, "<u4").tobytes() + starts.tobytes() + b"".join(parts)
 
 
-def read_head(data: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, int]:
-    """doc_ids, counts, number of ids, block starts, and where the blocks begin."""
-    if data[:4] != MAGIC:
+def read_head(data: bytes) -> tuple[np.ndarray | None, np.ndarray, int, np.ndarray, int]:
+    """doc_ids (None in a file of documents without), counts, number of ids, block starts, and where the blocks begin."""
+    if data[:4] not in (MAGIC, MAGIC_NULL):
         raise ValueError("not a token file")
     docs, n, blocks = struct.unpack_from("<IQI", data, 4)
-    at = 20
-    doc_ids = np.frombuffer(data, "<i8", docs, at)
-    counts = np.frombuffer(data, "<u4", docs, at + 8 * docs)
-    starts = np.frombuffer(data, "<u8", blocks, at + 12 * docs)
-    return doc_ids, counts, n, starts, at + 12 * docs + 8 * blocks
+    at, doc_ids = 20, None
+    if data[:4] == MAGIC:
+        doc_ids = np.frombuffer(data, "<i8", docs, at)
+        at += 8 * docs
+    counts = np.frombuffer(data, "<u4", docs, at)
+    starts = np.frombuffer(data, "<u8", blocks, at + 4 * docs)
+    return doc_ids, counts, n, starts, at + 4 * docs + 8 * blocks
 
 
 def decode_blocks(data: bytes, first: int, last: int) -> np.ndarray:
@@ -172,10 +176,11 @@ def decode_ids(data: bytes, start: int, stop: int) -> np.ndarray:
     return decode_blocks(data, first, -(-stop // BLOCK))[start - first * BLOCK : stop - first * BLOCK] if stop > start else np.empty(0, "<u4")
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, null_ids: bool = False) -> DataFrame:
     """Encode every text, add ``end_id``, and write files in ascending doc_id order under ``folder``.
 
-    Null texts count as empty; repeated rows are written each; null doc_ids are left out (they have no place in the order).
+    Null texts count as empty; repeated rows are written each.  With ``null_ids``, rows without doc_id follow all others in files of
+    their own, dealt over the partitions evenly as they have no key, in the order of their texts within each; otherwise they are left out.
     Returns one row for each file, computed when it is read: file, n_docs, n_ids.
     """
 
@@ -189,9 +194,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int) -> D
         names, docs_in, ids_in, ids, counts, held, size = [], [], [], [], [], [], 0
 
         def flush():
-            name = f"{root}/tokens-{part:06d}-{len(names):06d}.lpf"
+            # "n" sorts after every digit
+            name = f"{root}/tokens-{'null-' if held[0] is None else ''}{part:06d}-{len(names):06d}.lpf"
             every = np.frombuffer(b"".join(ids), "<u4")
-            image = encode_file(np.array(held, np.int64), np.array(counts, np.uint32), every)
+            image = encode_file(None if held[0] is None else np.array(held, np.int64), np.array(counts, np.uint32), every)
             with store.open_output_stream(tmp := f"{root}/_{uuid.uuid4().hex}") as out:
                 out.write(image)
             store.move(tmp, name)
@@ -215,9 +221,12 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int) -> D
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs_in, pa.int64()), pa.array(ids_in, pa.int64())], names=["file", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "file string, n_docs long, n_ids long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts, schema = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file string, n_docs long, n_ids long"
+    files = rows.where("doc_id is not null").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+    if not null_ids:
+        return files
+    return files.unionByName(rows.where("doc_id is null").repartition(parts).sortWithinPartitions("text").mapInArrow(run, schema))
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -232,14 +241,15 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
                 doc_ids, counts, n, starts, _ = read_head(data)
                 ends = np.cumsum(counts, dtype=np.int64)
                 crcs, at = [], 0
-                while at < len(doc_ids):  # some documents at a time, about a million ids
+                while at < len(counts):  # some documents at a time, about a million ids
                     base = int(ends[at] - counts[at])
                     to = max(at + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
                     raw = decode_ids(data, base, int(ends[to - 1])).astype("<u4").tobytes()
                     crcs += [zlib.crc32(raw[4 * int(ends[i] - counts[i] - base) : 4 * int(ends[i] - base)]) for i in range(at, to)]
                     at = to
+                doc_ids = pa.nulls(len(counts), pa.int64()) if doc_ids is None else pa.array(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(doc_ids), pa.string()), pa.array(doc_ids), pa.array(ends - counts), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())],
+                    [pa.array([name] * len(counts), pa.string()), doc_ids, pa.array(ends - counts), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())],
                     names=["file", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
@@ -250,16 +260,16 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
     return read.join(bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
+def token_output(docs: DataFrame, path: str, end_id: int = 2, null_ids: bool = False) -> DataFrame:
     """Write the token files into the shared folder and return what they hold, by document."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     store_ready = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     store_ready.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(store_ready)
-    files = write_token_files(docs, path, folder, end_id)
+    files = write_token_files(docs, path, folder, end_id, null_ids)
     files.write.parquet(manifest := f"{folder}-files")
     return read_token_files(spark, folder, spark.read.schema(files.schema).parquet(manifest))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    return token_output(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=2, null_ids=True)

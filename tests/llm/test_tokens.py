@@ -79,3 +79,15 @@ def test_files_of_odd_rows(docs):
         at += len(ids) // 4
     assert sorted(map(tuple, O.token_output(docs, BYTES).collect())) == want
     assert O.token_output(docs.limit(0), BYTES).count() == 0
+
+
+def test_query_keeps_rows_without_id(spark, tmp_path):
+    e = O.encoder_of(BYTES)
+    rows = [(5, "the quick brown fox"), (None, "no id"), (2, None), (None, None), (None, "no id"), (7, ""), (None, "Été " * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, O.op7_token_output(spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    coded = [(i, e.encode(t or "") + (2).to_bytes(4, "little")) for i, t in rows]
+    assert sorted(((i, n, c) for i, _, n, c in got), key=str) == sorted(((i, len(b) // 4, zlib.crc32(b)) for i, b in coded), key=str)
+    assert [g[0] for g in got] == [2, 5, 7, None, None, None, None]
+    ends = [start + n for _, start, n, _ in got]
+    assert [start for _, start, _, _ in got] == [0, *ends[:-1]]
