@@ -88,7 +88,7 @@ def with_buckets(vectors: DataFrame, probes: int) -> DataFrame:
 
 
 def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k nearest of each query within each group (bucket, block)."""
+    """query_id, vec_id, score: the k nearest of each query within each group (bucket, block); rows with one vec_id count once, at their smallest distance."""
 
     def run(left, right):
         import pyarrow as pa
@@ -100,16 +100,20 @@ def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             order = np.argsort(x_ids, kind="stable")
             x, x_ids = x[order], x_ids[order]
             squares = (x * x).sum(axis=1)
+            first = np.flatnonzero(np.r_[True, x_ids[1:] != x_ids[:-1]])  # where each vec_id starts
+            n = min(k, len(first))
             for a in range(0, len(q), QUERIES):
                 part = q[a : a + QUERIES]
                 near = squares - 2 * (part @ x.T)  # less the query's own square
                 slack = 1e-9 * (squares.max() + (part * part).sum(axis=1))
                 near[q_ids[a : a + QUERIES, None] == x_ids] = np.inf
-                most = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                each = near if len(first) == len(x) else np.minimum.reduceat(near, first, axis=1)
+                most = np.partition(each, n - 1, axis=1)[:, n - 1]
                 for i, (row, limit) in enumerate(zip(near, most + slack)):
                     c = np.flatnonzero((row <= limit) & (row < np.inf))
                     exact = np.sqrt(((x[c] - part[i]) ** 2).sum(axis=1))
-                    best = np.argsort(exact, kind="stable")[:k]  # c ascends by vec_id, so ties go to the smaller
+                    best = np.argsort(exact, kind="stable")  # c ascends by vec_id, so ties go to the smaller
+                    best = best[np.sort(np.unique(x_ids[c[best]], return_index=True)[1])[:k]]
                     out[0].append(np.full(len(best), q_ids[a + i]))
                     out[1].append(x_ids[c[best]])
                     out[2].append(exact[best])

@@ -49,3 +49,26 @@ def test_blocks_change_nothing(spark, monkeypatch):
     one = sorted(map(tuple, A.search(df, F.col("vec_id") % 100 == 0).collect()))
     monkeypatch.setattr(A, "BLOCK", 7)
     assert sorted(map(tuple, A.search(df, F.col("vec_id") % 100 == 0).collect())) == one
+
+
+@pytest.mark.parametrize("times", [2, 12])
+def test_repeated_rows_count_once(spark, times):
+    r = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(120, 8)))]
+    df = spark.createDataFrame(rows * times, "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(rows[:5], df.schema)
+    group = [F.lit(0).alias("bucket"), F.lit(0).alias("block")]
+    want = brute(rows, rows[:5])
+    got = {}
+    for g in A.nearest_within(queries.select("*", *group), df.select("*", *group), 10).collect():
+        got.setdefault(g.query_id, []).append((g.score, g.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    once = sorted(map(tuple, A.search(spark.createDataFrame(rows, df.schema), F.col("vec_id") % 20 == 0).collect()))
+    assert sorted(map(tuple, A.search(df, F.col("vec_id") % 20 == 0).collect())) == once
+    assert len(once) == 6 * 10
+
+
+def test_smallest_distance_of_a_vec_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [2.0, 0.0]), (2, [4.0, 0.0]), (1, [2.0, 0.0])] + [(3, [1.5, 0.0])] * 11
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((g.rank, g.vec_id, g.score) for g in got) == [(1, 3, 0.5), (2, 1, 1.0), (3, 2, 3.0)]
