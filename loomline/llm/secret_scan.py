@@ -24,11 +24,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as [0-9a-f]+ of 32 or more: a shorter run fails at each of its places
 KINDS = ("assign", "access", "hex", "literal")
 
-#: name, operator, literal.  Quoted literals end at their quote, bare ones at white space or punctuation.
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?:--?|<|["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})["']?\x20{0,8}(?::=|=>|[:=>])\x20{0,8}(?:(?P<q>["'])(?P<quoted>[^"'\n]{1,400})(?P=q)|(?P<bare>[A-Za-z0-9+/_.=@$%^&*!~-]{1,400}))""",
-    re.A,
-)
+#: name and operator, of any length and spacing.  Quantifiers are possessive or end at a character that starts no second try, so that a text is read in linear time.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])(?:--?|<|["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=>])[ \t]*+""", re.A)
+#: A type or a further name before the operator of the literal: ``str =``, ``Optional[str] =``, ``str | None =``.
+INDEX = r"(?:[ \t]*+\[(?:[^][\n]|\[[^][\n]*+\])*+\])?+"
+TYPED = re.compile(rf"(?P<type>[A-Za-z_][A-Za-z0-9_.]*+){INDEX}(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+{INDEX})*+[ \t]*+:?=(?![=>])[ \t]*+", re.A)
+#: Names without spaces between them and a quoted literal.
+CHAIN = re.compile(r"""(?:[A-Za-z_][A-Za-z0-9_.]*+=)++(?=["'])""", re.A)
+#: Quoted literals end at their quote, in triple quotes over lines; bare ones at white space or punctuation.
+QUOTED = re.compile(r"""(?P<t>"{3}|'{3})(?P<triple>(?s:.+?))(?P=t)|(?P<q>["'])(?P<quoted>[^"'\n]++)(?P=q)""", re.A)
+BARE = re.compile(r"[A-Za-z0-9+/_.=@$%^&*!~-]++", re.A)
+INNER = re.compile(r"([A-Za-z_][A-Za-z0-9_.]*+)=(?!=)", re.A)
+OPERATOR = re.compile(r"[ \t]*+[:=>]")
 MARK = re.compile(r"[:=>]")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of words in a target name.
@@ -75,13 +82,33 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals bound, directly or through constants, to sensitive names."""
     bound: dict[str, tuple[int, int]] = {}
     weight: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        part = "quoted" if m["quoted"] is not None else "bare"
-        span, value, name = m.span(part), m[part], m["name"]
-        if part == "bare" and NAME.match(value) and value in bound:
-            span = bound[value]  # a name that stands for a literal seen before
-        bound[name] = span
-        weight[span] = max(weight.get(span, 0), name_weight(name))
+
+    def bind(names: list[str], span: tuple[int, int]) -> float:
+        weight[span] = max(weight.get(span, 0), w := max(map(name_weight, names)))
+        bound.update(dict.fromkeys(names, span))
+        return w
+
+    at = 0
+    while m := HEAD.search(text, at):
+        names, at = [m["name"]], m.end()
+        while (t := TYPED.match(text, at)) and (text[t.end("type")] != "=" or text[t.end() : t.end() + 1] in ('"', "'")):
+            names.append(t["type"])
+            at = t.end()
+        if chain := CHAIN.match(text, at):
+            names += chain[0].split("=")[:-1]
+            at = chain.end()
+        if q := QUOTED.match(text, at):
+            bind(names, q.span("triple" if q["t"] else "quoted"))
+            at = q.end()
+        elif b := BARE.match(text, at):
+            name = NAME.match(b[0])
+            if name and OPERATOR.match(text, b.end()):
+                continue  # itself a name with a literal
+            w = bind(names, bound[b[0]] if name and b[0] in bound else b.span())  # a name may stand for a literal seen before
+            while not w and (inner := INNER.match(text, at, b.end())) and inner.end() < b.end():
+                at = inner.end()
+                w = bind([inner[1]], (at, b.end()))
+            at = b.end()
     return sorted((a, 3, b) for (a, b), w in weight.items() if w and literal_score(text[a:b], w) >= LEAST_SCORE)
 
 

@@ -67,3 +67,43 @@ def test_rows(spark):
         assert (g.n_assign, g.n_access, g.n_hex) == tuple([k for _, k, _ in want].count(n) for n in range(3))
         assert set(filter(None, text.split(","))) <= set(g.spans.split(","))
     assert S.scan_secrets(df.limit(0)).count() == 0
+
+
+LONG = "Zx81kq0Lmn2" * 182
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f'private_key = "{LONG}"', [LONG]),
+        (f"private_key = {LONG} end", [LONG]),
+        ("a" * 200 + "_signing_key = 'Zx81kq0Lmn2'", ["Zx81kq0Lmn2"]),
+        ("private_key            =\t          'Zx81kq0Lmn2'", ["Zx81kq0Lmn2"]),
+        ("private_key\t=\t'Zx81kq0Lmn2'", ["Zx81kq0Lmn2"]),
+        ('private_key = """Zx81kq0Lmn2\nYw92"""', ["Zx81kq0Lmn2\nYw92"]),
+        ("private_key = \'\'\'Zx81kq0Lmn2\'\'\'", ["Zx81kq0Lmn2"]),
+        ('signing_key: str = "Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ('signing_key: Optional[str] = "Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ('signing_key: str | None = "Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ('signing_key: str="Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ('else: private_key = "Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ("else: private_key=Zx81kq0Lmn2", ["Zx81kq0Lmn2"]),
+        ("else: private_key: Zx81kq0Lmn2", ["Zx81kq0Lmn2"]),
+        ('signing_key = a = b = "Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ('signing_key=a=b="Zx81kq0Lmn2"', ["Zx81kq0Lmn2"]),
+        ("signing_key: Zx81kq0Lmn2== next", ["Zx81kq0Lmn2=="]),
+        ("private_key: https://example.org/page-12", []),
+        ("colour: str = 'Zx81kq0Lmn2'", []),
+    ],
+)
+def test_no_bounds_on_pairs(text, found):
+    assert literals(text) == found
+
+
+@pytest.mark.parametrize("text", ["key=" * 250_000, "a: b[" * 200_000, "k = " * 250_000, "a" * 1_000_000, "k" + " " * 1_000_000, "k='" * 300_000, 'k="""' * 160_000, "a: b | " * 140_000, "key: a" + ".b" * 500_000])
+def test_long_texts_take_linear_time(text):
+    from time import process_time
+
+    start = process_time()
+    S.literal_spans(text)
+    assert process_time() - start < 20
