@@ -105,14 +105,21 @@ def prefix_join(spark, d):
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), t AS (SELECT item_id, text AS term FROM benchmark)
 SELECT doc_id, count(*) AS terms, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids FROM documents JOIN t ON contains(documents.text, term) GROUP BY doc_id""".replace("WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), t", "WITH t"))
 def leak_term_scan(spark, d):
-    """Documents that contain a whole benchmark text: found by their first twenty characters at each word, then compared in full."""
-    terms = table(spark, d, "benchmark").select("item_id", F.col("text").alias("term")).withColumn("head", F.left("term", F.lit(20)))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    starts = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(?<!\S)(\S.{19}))"), F.lit(1)))).alias("head"))
-    near = starts.join(terms, "head").select("doc_id", "item_id", "term").distinct()
-    found = near.join(docs, "doc_id").where(F.contains("text", F.col("term")))
-    ids = F.transform(F.sort_array(F.collect_list("item_id")), lambda i: i.cast("string"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("terms"), F.array_join(ids, ",").alias("item_ids"))
+    """Documents that contain a whole benchmark text: found by its first twenty characters (all of a shorter one) at every position, then compared in full."""
+    terms = table(spark, d, "benchmark").where("text is not null").groupBy(F.col("text").alias("term")).agg(F.count("*").alias("n"), F.collect_list("item_id").alias("items"))
+    terms = terms.withColumn("head", F.left("term", F.lit(20)))
+    sizes = [r.n for r in terms.select(F.length("head").alias("n")).distinct().collect()]  # 21 at most
+    docs = table(spark, d, "documents").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    # Pieces overlap by what the longest key needs, so that no array of keys grows with its text.
+    pieces = docs.select("row", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{1,4115})).{1,4096}"), F.lit(1))).alias("piece"))
+    heads = [F.regexp_extract_all("piece", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes if n]
+    starts = pieces.select("row", F.explode(F.concat(F.array().cast("array<string>"), *heads)).alias("head"))
+    near = starts.join(terms.select("head", "term"), "head").select("row", "term").distinct()
+    if 0 in sizes:  # the empty text is in every text
+        near = near.unionByName(docs.where("text is not null").select("row", F.lit("").alias("term")).distinct())
+    found = near.join(docs, "row").where(F.contains("text", F.col("term"))).join(terms.drop("head"), "term")
+    ids = F.transform(F.sort_array(F.flatten(F.collect_list("items"))), lambda i: i.cast("string"))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("terms"), F.array_join(ids, ",").alias("item_ids"))
 
 
 @query("""
