@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +88,10 @@ class PieceCounter:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def piece_counts(self, text: str) -> list[int]:
-        """Tokens of each piece, in order; a text with unusual characters or special strings is one piece."""
+        """Tokens of each piece, in order; a text with unusual characters or special strings is cut into pieces by the library."""
         if not text.isascii() and OTHER.search(text) or any(s in text for s in self.special):
-            return self.encode([text])
+            words = self.tokenizer.encode(text, add_special_tokens=False).word_ids
+            return [len(list(tokens)) for _, tokens in groupby(words)]
         return self.known.all(PIECES.findall(text.lower()))
 
     def prefix_counts(self, text: str) -> list[int]:
@@ -98,7 +99,12 @@ class PieceCounter:
         return [0, *accumulate(self.piece_counts(text))]
 
     def count(self, text: str) -> int:
-        return sum(self.piece_counts(text))
+        return self.prefix_counts(text)[-1]
+
+    def within(self, text: str, limit: int) -> tuple[int, bool]:
+        """Tokens of the text, and whether some of its pieces are beyond the limit; both from the prefix counts."""
+        prefix = self.prefix_counts(text)
+        return prefix[-1], self.pieces_within(prefix, limit) < len(prefix) - 1
 
     @staticmethod
     def pieces_within(prefix: list[int], budget: int) -> int:
@@ -127,9 +133,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         counter = counter_of(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens = [counter.count(t) for t in texts]
+            got = [counter.within(t, limit) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
+                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([n for n, _ in got], pa.int64()), pa.array([over for _, over in got], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -91,3 +91,24 @@ def test_query_keeps_rows_without_id(spark, tmp_path):
     assert [g[0] for g in got] == [2, 5, 7, None, None, None, None]
     ends = [start + n for _, start, n, _ in got]
     assert [start for _, start, _, _ in got] == [0, *ends[:-1]]
+
+
+@pytest.mark.parametrize("text", ["it’s a “quoted” word — and more, 12 of them", "漢字 and 仮名, mixed", "a <|endoftext|> b, c", "Σίσυφος’s stone <|endoftext|>\n\n  x"])
+def test_prefixes_of_unusual_texts(text):
+    c = C.counter_of(WORDS)
+    prefix = c.prefix_counts(text)
+    encoding = c.tokenizer.encode(text, add_special_tokens=False)
+    ends = {w: end for w, (_, end) in zip(encoding.word_ids, encoding.offsets)}  # the last token of each piece
+    assert len(prefix) == len(ends) + 1 > 4
+    assert prefix == [0, *(c.encode([text[:end]])[0] for end in ends.values())]
+    for limit in range(prefix[-1] + 2):
+        n = c.pieces_within(prefix, limit)
+        assert prefix[n] <= limit and (n == len(ends) or limit < prefix[n + 1])
+        assert c.within(text, limit) == (prefix[-1], prefix[-1] > limit)
+
+
+def test_query_counts_by_prefixes(monkeypatch):
+    c = C.counter_of(WORDS)
+    monkeypatch.setattr(c, "prefix_counts", lambda text: [0, 3, 7])
+    assert c.count("x") == 7
+    assert [c.within("x", n) for n in (2, 6, 7)] == [(7, True), (7, True), (7, False)]
