@@ -48,17 +48,18 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every row; one pass, no shuffle."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fingerprint and the columns ``more`` (longs) of every row; one pass, no shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             got = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64()), *map(batch.column, more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, ", ".join([SCHEMA, *(f"{c} long" for c in more)]))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -82,31 +83,39 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def grouped(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp, the columns ``more``, root (a fingerprint that names the component) and component_id of every row."""
+    rows = settle(fingerprints(docs, *more), "fingerprints")
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    roots = component_roots(links(nodes))
+    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = settle(nodes.join(names, "root").select("fp", "root", "component_id"), "fingerprint-components")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id; one row for each row of ``docs``.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows are in one component; a
     null doc_id is in its component but never names it, unless no other is there; an empty table gives no rows.
     """
-    rows = settle(fingerprints(docs), "fingerprints")
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = component_roots(links(nodes))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(nodes.join(names, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that whose doc_id names it.
+    """One row of ``docs`` for each group: that of the smallest doc_id, rows without one last, then of the smallest hash of its text.
 
-    Where rows repeat a doc_id, each different text of the doc_id that names a group stays once; a group without any doc_id keeps its rows.
+    A row is known by its doc_id and that hash together, so repeated and missing doc_ids keep one row of their group like any other.
     """
-    found = settle(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    found = settle(grouped(keyed, "__key").select("doc_id", "__key", "root"), "near-duplicates")
+    repeated = found.groupBy("doc_id", "__key").count().where("count > 1").limit(1).count()
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))).alias("k"))
+    kept = kept.select(F.col("k.id").alias("__kept"), F.col("k.key").alias("__kept_key"))
     # Documents are shuffled to their ids at every size: the list of ids grows with them, so it is not for broadcasting.
-    out = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__kept_key"))
+    out = keyed.join(kept.hint("merge"), same, "left_semi").drop("__key")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 

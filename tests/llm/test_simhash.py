@@ -77,3 +77,13 @@ def test_long_chain_and_empty(spark):
 def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(4, "a b c d", 1), (2, "A b  c d", 2), (9, None, 3), (11, "", 4), (20, "other words here now", 5)], "doc_id long, text string, n int")
     assert sorted(x.doc_id for x in S.keep_one(docs).collect()) == [2, 9, 20]
+
+
+def test_one_stays_without_or_with_repeated_ids(spark):
+    lone, named, first, second = "words of rows without any id", "a text that one row names", "the first text of four", "some second text of four and two"
+    rows = [(None, lone), (None, lone.upper()), (None, lone), (7, named), (None, named), (4, first), (4, second), (2, second), (4, first), (9, None), (None, "")]
+    got = [(x.doc_id, (x.text or "").lower()) for x in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted([(None, lone), (7, named), (4, first), (2, second), (9, "")], key=str)
+    unrelated = [r for r in rows if r[0] != 4]
+    got = [x.doc_id for x in S.keep_one(spark.createDataFrame(unrelated, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [2, 7, 9, None]
