@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not hasattr(spark.sparkContext, "_loomline_shared"):
         spark.sparkContext._loomline_shared = "file://" + tempfile.mkdtemp(prefix="loomline-")
     return spark.sparkContext._loomline_shared
@@ -42,6 +44,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(df: DataFrame) -> int:
+    """Size of the input of ``df`` (a column ``text`` and others), for the choice of partitions: as its plan states it, or else measured."""
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stated if stated < 1 << 60 else df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once: a lambda variable is not inlined again."""
     return F.transform(F.array(value), body)[0]

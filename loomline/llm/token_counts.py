@@ -23,8 +23,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 OTHER = re.compile(f"[^{LETTERS}\\x00-\\x7f]")
 #: The pattern of the file, for those characters (white space is dropped). Fixed value.
 PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[\\x00-\\x08\\x0e-\\x1f!-/:-@[-`{{-\\x7f]+|[0-9]")
-#: Pieces that a worker remembers at most.
-REMEMBERED = 900_000
+#: Bytes of pieces that a worker remembers at most, and what a piece takes besides its characters and its result, about.
+REMEMBERED, ENTRY = 64 << 20, 200
 
 COUNTS_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -53,7 +53,7 @@ class Remembered:
     """What pieces gave, in two generations: the older half goes when the younger is full."""
 
     def __init__(self, compute):
-        self.compute, self.young, self.old = compute, {}, {}
+        self.compute, self.young, self.old, self.size = compute, {}, {}, 0
 
     def all(self, pieces: list[str]) -> list:
         got = list(map(self.young.get, pieces))
@@ -63,9 +63,10 @@ class Remembered:
                     if (x := self.old.get(p)) is None:
                         x = self.compute(p)
                     if len(p) <= 64:
-                        if len(self.young) >= REMEMBERED // 2:
-                            self.young, self.old = {}, self.young
+                        if self.size >= REMEMBERED // 2:
+                            self.young, self.old, self.size = {}, self.young, 0
                         self.young[p] = x
+                        self.size += ENTRY + len(p)
                 got[i] = x
         return got
 

@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 
@@ -44,8 +45,9 @@ def test_blocks_round_trip(seed):
     counts = [r.choice([0, 1, 3, 127, 128, 129, 1000]) for _ in range(r.choice([0, 1, 20]))]
     ids = np.array([r.choice([2, 5, 50256, r.randrange(50257), 2**32 - 1 if seed == 5 else 7]) for _ in range(sum(counts))], dtype="<u4")
     image = O.encode_file(np.arange(len(counts)), np.array(counts, np.uint32), ids)
-    doc_ids, got, n, _, _ = O.read_head(image)
-    assert got.tolist() == counts and n == len(ids) and len(doc_ids) == len(counts)
+    head = O.read_head(image)
+    n = head.n
+    assert head.counts.tolist() == counts and n == len(ids) and head.doc_ids.tolist() == list(range(len(counts)))
     assert O.decode_ids(image, 0, n).tolist() == ids.tolist()
     for _ in range(5):
         a = r.randrange(n + 1)
@@ -73,14 +75,37 @@ def test_counts_of_odd_rows(docs, spark):
 def test_files_of_odd_rows(docs):
     e = O.encoder_of(BYTES)
     want, at = [], 0
-    for i, t in sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0]):
+    for i, t in sorted(ROWS, key=lambda r: (r[0] is None, r[0])):
         ids = e.encode(t or "") + (2).to_bytes(4, "little")
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
-    assert sorted(map(tuple, O.token_output(docs, BYTES).collect())) == want
+    assert sorted(map(tuple, O.token_output(docs, BYTES).collect()), key=lambda r: r[1]) == want
     assert O.token_output(docs.limit(0), BYTES).count() == 0
 
 
+def test_small_files_and_stretches(docs, monkeypatch):
+    whole = sorted(map(tuple, O.token_output(docs, BYTES).collect()), key=lambda r: r[1])
+    e, text = O.encoder_of(BYTES), "long words, 12 of them  here\n and isn't " * 900
+    monkeypatch.setattr(O, "CHARS", 100)
+    assert len(list(O.cuts(text))) > 100 and e.ids(text) == e.encode(text)
+    file = O.TokenFile(out := io.BytesIO(), False)
+    monkeypatch.setattr(O, "PACKED_IDS", 256)
+    for n in (0, 3, 700, 0, 128, 5000):
+        file.add(bytes(range(4)) * n)
+        file.end(n)
+    file.close()
+    reader = O.read_head(out.getvalue())
+    assert O.document_sums(reader) == [zlib.crc32(bytes(range(4)) * n) for n in (0, 3, 700, 0, 128, 5000)]
+    assert [r[3] for r in whole] == [zlib.crc32(e.encode(t or "") + (2).to_bytes(4, "little")) for _, t in sorted(ROWS, key=lambda r: (r[0] is None, r[0]))]
+
+
+def test_a_frequent_row_is_dealt_out(spark):
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7L, id) AS doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) AS text")
+    got = sorted(map(tuple, O.token_output(rows, BYTES).collect()), key=lambda r: r[1])
+    assert [g[0] for g in got] == sorted(r.doc_id for r in rows.collect())
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
 def test_query_keeps_rows_without_id(spark, tmp_path):
     e = O.encoder_of(BYTES)
     rows = [(5, "the quick brown fox"), (None, "no id"), (2, None), (None, None), (None, "no id"), (7, ""), (None, "Été " * 300)]
