@@ -24,7 +24,7 @@ OTHER = re.compile(f"[^{LETTERS}\\x00-\\x7f]")
 #: The pattern of the file, for those characters (white space is dropped). Fixed value.
 PIECES = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[\\x00-\\x08\\x0e-\\x1f!-/:-@[-`{{-\\x7f]+|[0-9]")
 #: Bytes of pieces that a worker remembers at most, and what a piece takes besides its characters and its result, about.
-REMEMBERED, ENTRY = 64 << 20, 200
+REMEMBERED, ENTRY = 192 << 20, 200
 
 COUNTS_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 

@@ -35,6 +35,7 @@ from .token_counts import ByteAlphabet, Remembered, vocabulary_path
 
 MAGIC, MAGIC_NULL = b"LPF2", b"LPN2"
 TRAILER = struct.Struct("<QIQI4s")
+HEAD = struct.Struct("<IBB").pack
 BLOCK = 128
 PERCENTILE = 90
 #: Any other character sends a text to the library whole.
@@ -79,14 +80,15 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = ByteAlphabet()
+        self.model = self.tokenizer.model
+        self.written = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known = Remembered(self._piece)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.written[t.id] for t in self.model.tokenize(piece.translate(self.alphabet))])
 
     def stretches(self, text: str):
         """Ids as little-endian unsigned 32-bit integers, a stretch of the text at a time."""
@@ -128,13 +130,13 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     diff = rows - low[:, None]
     ranked = np.sort(diff, axis=1)[:, BLOCK * PERCENTILE // 100]
     widths = np.ceil(np.log2(ranked.astype(np.float64) + 1)).astype(np.uint32)
-    over = (diff.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype("<u4")
+    over = (diff >> np.minimum(widths, 31)[:, None]) * (widths < 32)[:, None]
     lines, places = np.nonzero(over)
     edges = np.searchsorted(lines, np.arange(len(diff) + 1)).tolist()
-    high, places = over[lines, places], places.astype(np.uint8)
+    high, places = over[lines, places].astype("<u4").tobytes(), places.astype(np.uint8).tobytes()
     packed = _pack(diff, widths)
     heads = zip(low.tolist(), widths.tolist(), packed, edges, edges[1:])
-    return [struct.pack("<IBB", m, w, b - a) + bits + places[a:b].tobytes() + high[a:b].tobytes() for m, w, bits, a, b in heads]
+    return [HEAD(m, w, b - a) + bits + places[a:b] + high[4 * a : 4 * b] for m, w, bits, a, b in heads]
 
 
 class TokenFile:
@@ -215,9 +217,9 @@ class TokenReader:
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Ids of the blocks that begin at ``starts`` (the last block of a file may hold padding)."""
-    out = np.empty((len(starts), BLOCK), dtype="<u4")
-    heads = [struct.unpack_from("<IBB", data, s) for s in starts.tolist()]
-    widths = np.array([h[1] for h in heads], dtype=np.int64)
+    out, at = np.empty((len(starts), BLOCK), dtype="<u4"), starts.tolist()
+    heads = np.frombuffer(b"".join([data[s : s + 6] for s in at]), [("low", "<u4"), ("width", "u1"), ("over", "u1")])
+    widths = heads["width"].astype(np.int64)
     for w in np.unique(widths).tolist():
         rows, size = np.flatnonzero(widths == w), w * BLOCK // 8
         if not w:
@@ -230,12 +232,13 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
             view = np.ndarray(len(values), kind, raw, j * w >> 3, (w,))
             values[:, j] = (view >> kind.type(j * w & 7)) & mask
         out[rows] = values.reshape(len(rows), BLOCK)
-    out += np.array([h[0] for h in heads], dtype="<u4")[:, None]
-    for i, (_, w, k) in enumerate(heads):
-        if k:
-            at = int(starts[i]) + 6 + w * BLOCK // 8
-            high = np.frombuffer(data, "<u4", k, at + k).astype(np.uint64) << np.uint64(w)
-            out[i, np.frombuffer(data, np.uint8, k, at)] += high.astype(np.uint32)
+    out += heads["low"][:, None]
+    n = heads["over"].astype(np.int64)
+    first = starts + 6 + widths * BLOCK // 8
+    places = np.frombuffer(b"".join([data[p : p + k] for p, k in zip(first.tolist(), n.tolist())]), np.uint8)
+    high = np.frombuffer(b"".join([data[p : p + 4 * k] for p, k in zip((first + n).tolist(), n.tolist())]), "<u4")
+    rows = np.repeat(np.arange(len(starts)), n)
+    out[rows, places] += (high.astype(np.uint64) << widths[rows].astype(np.uint64)).astype(np.uint32)
     return out.reshape(-1)
 
 
