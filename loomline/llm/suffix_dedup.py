@@ -1,19 +1,19 @@
 """Repeated byte strings by sorted suffixes.
 
-A byte goes when a string of 400 bytes that covers it also starts anywhere else.  Written as suffixes: suffix i is repeated when its first 400
-bytes equal those of another suffix.  Sorting all suffixes of a corpus with 400 bytes each would move hundreds of times its size, so
-suffixes that cannot be repeated, and those whose repetition shows at once, are set apart first:
+A byte goes when a string of 400 bytes that covers it also starts anywhere else.  Sorting the suffix at every byte would move 400 bytes for each
+byte of the corpus, so suffixes are taken at anchors, which stand for all windows around them:
 
 1.  Every 400-byte window has an anchor, the smallest hash of 128 bytes in it (a function of its content).  Neighbouring windows with
-    one anchor form a segment.  Equal windows have equal anchors, so a window whose anchor occurs once is not repeated.
-2.  Where all segments of an anchor have one content (copied text away from the ends of the copy), all their windows are repeated.
-3.  What is left are segments that share an anchor but differ somewhere.  One segment of each content is cut into cells of 16 windows, counted
-    from the anchor, and step 2 is repeated with the bytes that all windows of a cell share: a cell where these occur once is not repeated.
-4.  Of the cells that still share and differ, one of each content gives its suffixes to the sort: sampled splitters range-partition them by
-    their leading bytes, each bucket sorts its suffixes by multikey quicksort (the leading eight bytes, then a hash of the 400, which
-    stands for the rest), neighbours are compared, and the ends of buckets across boundaries.
-
-Ties are dealt by place, so a string that occurs in a third of all documents is spread over buckets.
+    one anchor form a segment: an anchor with up to 272 bytes to its left and up to 400 from its beginning on.  Equal windows have equal
+    anchors, at one place of the window.  A segment whose anchor occurs once holds no repeated window and is dropped.
+2.  Segments of one content (128 bits of BLAKE2 of their bytes) become one suffix with a count; a count of two or more says that all their windows are repeated.
+3.  Where an anchor has several contents, their windows may be equal in part.  Suffixes at anchors go to buckets by sampled splitters of their
+    leading bytes; each bucket sorts them by multikey quicksort, and what stands to their left, read backwards, likewise; both orders give the length that
+    neighbours share.  The windows that begin ``o`` bytes before their anchors are equal where the suffixes share 400 - o bytes and what is left of
+    them o bytes: runs of the two orders, compared for each ``o``.
+4.  A run at the end of a bucket may go on in the next one: its windows are compared across the boundary by digests of their 400 bytes.
+
+Splitters are suffixes, then what is left of them, so that an anchor that occurs in a third of all documents is spread over many buckets.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-LENGTH, ANCHOR, CELL = 400, 128, 16
-#: Bytes that are hashed together.
-CHUNK = 1 << 20
-#: Bytes up to which lists of places are broadcast to the documents; beyond, documents are shuffled to them.
-BROADCAST_BYTES = 48 << 20
-#: Suffixes in a bucket, about.
-BUCKET = 400_000
+LENGTH, ANCHOR = 400, 128
+#: Most bytes of a window to the left of its anchor.
+REACH = LENGTH - ANCHOR
+#: Bytes that are hashed together; rows of a batch that are turned into Python objects at once.
+CHUNK, ROWS = 1 << 17, 256
+#: Measured bytes up to which lists of places are broadcast to the documents; beyond, documents are shuffled to them.
+BROADCAST_BYTES = 16 << 20
+#: Suffixes in a bucket, about (some 550 bytes each).
+BUCKET = 12_000
 
 _r = np.random.default_rng(23)
 BYTE_CODES = _r.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -95,21 +97,29 @@ def pieces(texts: list[bytes]):
         yield held
 
 
-def shape_code(a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return mixed_up((a.astype(np.uint64) << np.uint64(32)) + n.astype(np.uint64) + np.uint64(1))
+def digests(flat: bytes, first, last, shapes=None) -> np.ndarray:
+    """128 bits of each stretch of ``flat``, as two signed integers; ``shapes`` (bytes) also count."""
+    out = bytearray()
+    for i, (x, y) in enumerate(zip(first, last)):
+        h = hashlib.blake2b(flat[x:y], digest_size=16)
+        if shapes is not None:
+            h.update(shapes[i])
+        out += h.digest()
+    return np.frombuffer(bytes(out), "<i8").reshape(-1, 2)
 
 
 def segments(texts: list[bytes]):
-    """Arrays (text index, start, windows, place of the anchor in the segment, anchor hash, content hash), a set for each chunk."""
+    """Arrays (text index, start, windows, place of the anchor in the segment, anchor hash, content digest), a set for each chunk."""
     for held in pieces(texts):
-        flat = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+        raw = b"".join(p for _, _, p in held)
+        flat = np.frombuffer(raw, np.uint8)
         ends = np.cumsum([len(p) for _, _, p in held])
         starts = ends - np.array([len(p) for _, _, p in held])
         sums = prefix_sums(flat)
         n = len(flat) - ANCHOR + 1
         at = np.arange(n)
         ranked = (span_hash(sums, at, at + ANCHOR) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-        anchor = (sliding_min(ranked, LENGTH - ANCHOR + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchor = (sliding_min(ranked, REACH + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         window = np.arange(len(anchor))
         piece = np.repeat(np.arange(len(held)), ends - starts)[: len(anchor)]
         inside = window + LENGTH <= ends[piece]
@@ -119,182 +129,185 @@ def segments(texts: list[bytes]):
         stops = inside.copy()
         stops[:-1] &= begins[1:] | ~inside[1:]
         last = np.flatnonzero(stops)
-        a, e = anchor[first], last + LENGTH
-        content = span_hash(sums, first, e) ^ shape_code(a - first, last - first)
+        a = anchor[first]
+        shapes = (a - first).astype("<u2")[:, None].view(np.uint8)
+        content = digests(raw, first.tolist(), (last + LENGTH).tolist(), [x.tobytes() for x in shapes])
         who = piece[first]
         index, offset = np.array([i for i, _, _ in held])[who], np.array([o for _, o, _ in held])[who]
-        yield index, first - starts[who] + offset, last - first + 1, a - first, span_hash(sums, a, a + ANCHOR), content
+        yield index, first - starts[who] + offset, last - first + 1, a - first, span_hash(sums, a, a + ANCHOR).view(np.int64), content
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Order by the first key, equal stretches by the next, and so on: only what is still equal is looked at further."""
-    order = np.argsort(keys[0])
-    for d in range(1, len(keys)):
-        same = np.ones(len(order), dtype=bool)
-        for k in keys[:d]:
-            same[1:] &= k[order][1:] == k[order][:-1]
-        if len(order):
-            same[0] = False
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        rows = np.flatnonzero(tied)
-        stretch = np.cumsum(~same)[rows]
-        order[rows] = order[rows][np.lexsort((keys[d][order[rows]], stretch))]
-    return order
+def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words`` (big-endian words of their bytes), and the bytes that each shares with the one before it in that order.
 
-
-def _signed(x: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(x.astype(np.uint64).view(np.int64))
+    Multikey quicksort, all stretches at a time: a level orders by one word the rows that are equal so far, and only
+    those that stay equal are looked at by the next.
+    """
+    n, depth = words.shape
+    order, shared, new = np.arange(n), np.full(n, 8 * depth), np.zeros(n, dtype=bool)
+    new[:1], shared[:1] = True, 0
+    for d in range(depth):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        stretch, w = np.cumsum(new)[at], words[order[at], d]
+        by = np.lexsort((w, stretch))
+        order[at], w = order[at][by], w[by]
+        differ = np.flatnonzero((w[1:] != w[:-1]) & (stretch[1:] == stretch[:-1])) + 1
+        bits = w[differ] ^ w[differ - 1]
+        shared[at[differ]] = 8 * d + sum((bits < np.uint64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8))
+        new[at[differ]] = True
+    return order, shared
+
+
+def as_words(strings: list[bytes], length: int) -> np.ndarray:
+    """The strings, filled with zeros, as rows of big-endian words."""
+    return np.frombuffer(b"".join([s.ljust(length, b"\0") for s in strings]), ">u8").reshape(len(strings), length // 8).astype(np.uint64)
+
+
+def compared(left: list[bytes], right: list[bytes], at: np.ndarray, n: np.ndarray, copied: np.ndarray):
+    """Of the windows of some segments: which equal another, and which are at the ends of the order and equal none or stand for their equals.
+
+    Both as boolean arrays (segments, REACH + 1): the window that begins ``o`` bytes before the anchor.
+    """
+    by_right, shared_right = multikey(as_words(right, LENGTH))
+    by_left, shared_left = multikey(as_words([x[::-1] for x in left], REACH))
+    size = len(at)
+    hit, edge = np.zeros((size, REACH + 1), dtype=bool), np.zeros((size, REACH + 1), dtype=bool)
+    run = np.empty(size, dtype=np.int64)
+    runs = np.empty(size, dtype=np.int64)
+    for o in range(REACH + 1):
+        active = np.flatnonzero((o <= at) & (o > at - n))
+        if not len(active):
+            continue
+        runs[by_right] = np.cumsum(shared_right < LENGTH - o)
+        ends = runs[by_right[[0, -1]]]
+        run[by_left] = np.cumsum(shared_left < o) if o else 0
+        key = runs[active] * (size + 1) + run[active]
+        by = np.argsort(key, kind="stable")
+        key, who = key[by], active[by]
+        same = key[1:] == key[:-1]
+        first = np.append(True, ~same)
+        equal = ~first
+        equal[:-1] |= same
+        hit[who[equal], o] = True
+        edge[who[first & np.isin(runs[who], ends)], o] = True
+    return hit | copied[:, None], edge
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key of 128 bits that tells rows with different contents apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-
-
-SEGMENT = "row long, start int, n int, at int, anchor long, content long"
+    return rows.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))
 
 
 def segment_table(rows: DataFrame) -> DataFrame:
-    """Segments of every text: row, start, n (windows), at (place of the anchor), anchor and content (hashes)."""
+    """Segments of every text: row, start, n (windows), at (place of the anchor), anchor (hash), c1 and c2 (digest of the content)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column("row").to_numpy()
-            for index, start, n, at, anchor, content in segments([t.encode() for t in batch.column("text").to_pylist()]):
-                ints = [pa.array(x.astype(np.int32)) for x in (start, n, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[index]), *ints, _signed(anchor), _signed(content)], names=["row", "start", "n", "at", "anchor", "content"])
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                for index, start, n, at, anchor, content in segments([t.encode() for t in some.column("text").to_pylist()]):
+                    ints = [pa.array(x.astype(np.int32)) for x in (start, n, at)]
+                    longs = [pa.array(x) for x in (anchor, content[:, 0].copy(), content[:, 1].copy())]
+                    yield pa.RecordBatch.from_arrays([some.column("row").take(pa.array(index)), *ints, *longs], names=["row", "start", "n", "at", "anchor", "c1", "c2"])
 
-    return rows.select("row", "text").mapInArrow(run, SEGMENT)
+    return rows.select("row", "text").mapInArrow(run, "row binary, start int, n int, at int, anchor long, c1 long, c2 long")
 
 
-def _laid_out(batch):
-    """For some segments of a text at a time: row, their bytes, prefix sums, where each begins there, start, n, at, anchor, alone."""
-    for key, text, segs in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("segments").to_pylist()):
-        data = text.encode()
-        for a in range(0, len(segs), 2048):
-            part = segs[a : a + 2048]
-            flat = np.frombuffer(b"".join(data[s["start"] : s["start"] + s["n"] + LENGTH - 1] for s in part), np.uint8)
-            start, n, at = (np.array([s[c] for s in part]) for c in ("start", "n", "at"))
-            base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-            yield key, flat, prefix_sums(flat), base, start, n, at, np.array([s["anchor"] for s in part]).view(np.uint64), np.array([s["alone"] for s in part])
+def shared_segments(segs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Segments (row, start, n) that are there more than once; one of each content whose anchor has several, by row; number of these.
 
+    An open segment is one integer: start, whether there are copies of it, n and at.
+    """
+    uniform = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
+    anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), uniform.alias("uniform")).where("c > 1")
+    anchors = settle(anchors.select("anchor", "uniform"), "anchors")  # written, so that the join may split a common anchor
+    shared = settle(segs.join(anchors, "anchor"), "shared-segments")
+    mixed = shared.where("not uniform")
+    kinds = mixed.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "at")).alias("s"))
+    kinds = settle(kinds, "segment-kinds")
+    copied = mixed.join(kinds.where("copies > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi")
+    known = shared.where("uniform").select("row", "start", "n").unionByName(copied.select("row", "start", "n"))
+    code = F.col("s.start").cast("long") * (1 << 21) + F.when(F.col("copies") > 1, 1 << 20).otherwise(0) + F.col("s.n") * (1 << 10) + F.col("s.at")
+    places = kinds.groupBy("s.row").agg(F.collect_list(code).alias("places"))
+    return known, settle(places, "open-places"), kinds.count()
 
-def cell_table(opened: DataFrame) -> DataFrame:
-    """The cells of the segments of ``opened`` (row, text, segments), written as segments (anchor: what all windows of the cell share), and alone."""
 
-    def run(batches):
-        import pyarrow as pa
+def with_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``places`` (row, places) on row; the places are broadcast if their measured size allows."""
+    measured = places.agg(F.sum(F.size("places") * 8 + 48)).first()[0] or 0
+    return rows.join(F.broadcast(places) if measured <= BROADCAST_BYTES else places, "row", how)
 
-        for batch in batches:
-            for key, flat, sums, base, start, n, at, anchor, alone in _laid_out(batch):
-                who = np.repeat(np.arange(len(n)), n)
-                within = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                cell = (at[who] - within) // CELL  # windows counted back from the anchor; may be negative at the other side of it
-                begins = np.ones(len(who), dtype=bool)
-                begins[1:] = (who[1:] != who[:-1]) | (cell[1:] != cell[:-1])
-                first = np.flatnonzero(begins)
-                size = np.diff(np.append(first, len(who)))
-                w, i, c = who[first], within[first], cell[first]
-                last_start = np.clip(at[w] - c * CELL, i, None)  # the cell's windows, whole or not, begin from last_start - CELL + 1 to last_start
-                lo, hi = base[w] + last_start, base[w] + at[w] - c * CELL - CELL + 1 + LENGTH
-                core = span_hash(sums, lo, hi) ^ mixed_up(anchor[w] ^ (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                content = span_hash(sums, base[w] + i, base[w] + i + size - 1 + LENGTH) ^ shape_code(at[w] - i - c * CELL, size)
-                ints = [pa.array(x.astype(np.int32)) for x in (start[w] + i, size, at[w] - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key)), *ints, _signed(core), _signed(content), pa.array(alone[w])], names=["row", "start", "n", "at", "anchor", "content", "alone"])
-
-    return opened.mapInArrow(run, f"{SEGMENT}, alone boolean")
+
+SUFFIX = "row binary, start int, n int, at int, copied boolean, left binary, right binary"
 
 
 def suffix_table(opened: DataFrame) -> DataFrame:
-    """lead, content, row, start, alone of every suffix of the segments of ``opened`` (row, text, segments)."""
+    """The open segments of ``opened`` (row, text, places) with their bytes: to the left of the anchor, and from it on."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for key, flat, sums, base, start, n, _, _, alone in _laid_out(batch):
-                who = np.repeat(np.arange(len(n)), n)
-                within = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                at = base[who] + within
-                lead = np.zeros(len(at), dtype=np.uint64)
-                for b in range(8):
-                    lead = lead << np.uint64(8) | flat[at + b]
-                lead ^= np.uint64(1 << 63)  # signed order is then that of the bytes
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(lead), _signed(span_hash(sums, at, at + LENGTH)), pa.array(np.full(len(at), key)), pa.array((start[who] + within).astype(np.int32)), pa.array(alone[who])],
-                    names=["lead", "content", "row", "start", "alone"],
-                )
-
-    return opened.mapInArrow(run, "lead long, content long, row long, start int, alone boolean")
+            for i in range(batch.num_rows):
+                code = batch.column("places")[i].values.to_numpy()
+                start, copied, n, at = code >> 21, (code >> 20 & 1).astype(bool), code >> 10 & 1023, code & 1023
+                data = batch.column("text")[i].as_py().encode()
+                for a in range(0, len(code), 2048):
+                    b = a + 2048
+                    cuts = list(zip(start[a:b].tolist(), at[a:b].tolist(), n[a:b].tolist()))
+                    ints = [pa.array(x[a:b].astype(np.int32)) for x in (start, n, at)]
+                    left, right = [data[s : s + m] for s, m, _ in cuts], [data[s + m : s + k + LENGTH - 1] for s, m, k in cuts]
+                    row = pa.array([batch.column("row")[i].as_py()] * len(cuts), pa.binary())
+                    yield pa.RecordBatch.from_arrays([row, *ints, pa.array(copied[a:b]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["row", "start", "n", "at", "copied", "left", "right"])
 
-
-def with_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``places`` (row, segments) on row; the places are broadcast if their measured size allows."""
-    measured = places.agg(F.sum(F.size("segments") * 32 + 32)).first()[0] or 0
-    return rows.join(F.broadcast(places) if measured <= BROADCAST_BYTES else places, "row", how)
+    return opened.select("row", "text", "places").mapInArrow(run, SUFFIX)
 
 
-def repeated_suffixes(suffixes: DataFrame, n: int) -> DataFrame:
-    """row, start of the suffixes alone in their segment's content that equal another suffix."""
-    spark = suffixes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
+def repeated_windows(suffixes: DataFrame, n: int) -> DataFrame:
+    """row, start, n of the windows that equal others, of the ``n`` segments of ``suffixes``."""
+    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
     def run(batches):
         import pyarrow as pa
 
         got = list(batches)
-        if not got:
+        if not sum(b.num_rows for b in got):
             return
         t = pa.Table.from_batches(got)
-        keys = [t.column(c).to_numpy() for c in ("lead", "content")]
-        order = multikey_order(keys)
-        keys = [k[order] for k in keys]
-        row, start, alone = (t.column(c).to_numpy()[order] for c in ("row", "start", "alone"))
-        same = np.ones(len(order) - 1, dtype=bool)
-        for k in keys:
-            same &= k[1:] == k[:-1]
-        hit = np.zeros(len(order), dtype=bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        hit &= alone
-        edge = np.zeros(len(order), dtype=bool)
-        edge[[0, -1]] = True  # the ends of a bucket are compared with those of its neighbours
-        out = np.flatnonzero(hit | edge)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k[out]) for k in keys] + [pa.array(row[out]), pa.array(start[out]), pa.array(alone[out]), pa.array(hit[out]), pa.array(edge[out])],
-            names=["lead", "content", "row", "start", "alone", "hit", "edge"],
-        )
-
-    dealt = suffixes.repartitionByRange(parts, "lead", "content", "row", "start")
-    found = settle(dealt.mapInArrow(run, "lead long, content long, row long, start int, alone boolean, hit boolean, edge boolean"), "sorted-suffixes")
-    ends = found.where("edge").groupBy("lead", "content").agg(F.count_distinct("row", "start").alias("n")).where("n > 1").drop("n")
-    ends = F.broadcast(ends)  # two suffixes of each bucket at most
-    across = found.where("edge and alone and not hit").join(ends, ["lead", "content"], "left_semi")
-    return found.where("hit").unionByName(across).select("row", "start")
-
-
-def settled_kinds(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
-    """Of segments (with alone): those known to be repeated; one of each content that is still open, by row; windows of these.
-
-    A segment whose anchor occurs once is dropped, one whose anchor always has its content is repeated, and so is one whose content is there
-    twice.  ``alone`` marks the open ones that nothing has shown to be repeated.
-    """
-    anchors = segs.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") == F.max("content")).alias("uniform")).where("c > 1")
-    anchors = settle(anchors.select("anchor", "uniform"), f"{name}-anchors")  # written, so that the join may split a common anchor
-    shared = settle(segs.join(anchors, "anchor"), f"{name}-shared")
-    mixed = shared.where("not uniform")
-    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n", "at")).alias("s"), F.min("alone").alias("alone"))
-    kinds = settle(kinds, f"{name}-kinds")
-    copied = mixed.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    known = shared.where("uniform").select("row", "start", "n").unionByName(copied.select("row", "start", "n"))
-    open_ = F.struct("s.start", "s.n", "s.at", "anchor", ((F.col("copies") == 1) & F.col("alone")).alias("alone"))
-    places = kinds.groupBy("s.row").agg(F.collect_list(open_).alias("segments"))
-    return known, settle(places, f"{name}-places"), kinds.agg(F.sum("s.n")).first()[0] or 0
+        at, count, start, copied = (t.column(c).to_numpy() for c in ("at", "n", "start", "copied"))
+        left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
+        hit, edge = compared(left, right, at, count, copied)
+        # windows found here, as stretches: a window o bytes before the anchor starts at start + at - o
+        mine = np.zeros((len(at), REACH + 3), dtype=bool)
+        mine[:, 1:-1] = hit & ~copied[:, None] & (np.arange(REACH + 1) <= at[:, None]) & (np.arange(REACH + 1) > (at - count)[:, None])
+        who, low = np.nonzero(mine[:, 1:] & ~mine[:, :-1])
+        _, high = np.nonzero(mine[:, :-1] & ~mine[:, 1:])
+        ints = [pa.array(x.astype(np.int32)) for x in (start[who] + at[who] - high + 1, high - low)]
+        zero = pa.array(np.zeros(len(who), np.int64))
+        row = t.column("row").combine_chunks()
+        yield pa.RecordBatch.from_arrays([row.take(pa.array(who)), *ints, pa.array(np.ones(len(who), bool)), zero, zero], names=["row", "start", "n", "known", "d1", "d2"])
+        who, o = np.nonzero(edge)
+        for a in range(0, len(who), 1 << 16):
+            w, x = who[a : a + (1 << 16)], o[a : a + (1 << 16)]
+            whole = [left[i][len(left[i]) - k :] + right[i][: LENGTH - k] if k else right[i][:LENGTH] for i, k in zip(w.tolist(), x.tolist())]
+            d = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in whole), "<i8").reshape(-1, 2)
+            ints = [pa.array(y.astype(np.int32)) for y in (start[w] + at[w] - x, np.ones(len(w)))]
+            flags = pa.array(hit[w, x])
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(w)), *ints, flags, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["row", "start", "n", "known", "d1", "d2"])
+
+    dealt = suffixes.repartitionByRange(parts, "right", "left", "row", "start")
+    found = settle(dealt.mapInArrow(run, "row binary, start int, n int, known boolean, d1 long, d2 long"), "compared-windows")
+    at_ends = found.where("d1 <> 0 or d2 <> 0")
+    across = at_ends.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
+    across = at_ends.where("not known").join(across, ["d1", "d2"], "left_semi")
+    return found.where("d1 = 0 and d2 = 0").select("row", "start", "n").unionByName(across.select("row", "start", "n"))
 
 
 def merged(segs: list[dict] | None) -> list[tuple[int, int]]:
@@ -309,24 +322,22 @@ def merged(segs: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """row, segments (start, end): maximal runs of repeated bytes in each row of ``_rows(docs)`` that has any."""
+    """row, places: maximal runs of repeated bytes (start * 2 ** 32 + end) in each row of ``_rows(docs)`` that has any."""
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans = [[{"start": a, "end": b} for a, b in merged(s)] for s in batch.column("segments").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, kind)], names=["row", "segments"])
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                spans = [[(a << 32) + b for a, b in merged(s)] for s in some.column("segments").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(spans, pa.list_(pa.int64()))], names=["row", "places"])
 
     rows = _rows(docs)
-    known, places, _ = settled_kinds(settle(segment_table(rows), "segments").withColumn("alone", F.lit(True)), "segment")
-    opened = settle(with_places(rows.select("row", "text"), places, "inner"), "open-texts")  # the few texts that are looked at again
-    more, places, n = settled_kinds(settle(cell_table(opened), "cells"), "cell")
-    single = repeated_suffixes(suffix_table(with_places(opened.select("row", "text"), places, "inner")), n).select("row", "start", F.lit(1).alias("n"))
-    found = known.unionByName(more).unionByName(single)
+    known, places, n = shared_segments(settle(segment_table(rows), "segments"))
+    found = known.unionByName(repeated_windows(suffix_table(with_places(rows.select("row", "text"), places, "inner")), n))
     grouped = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("segments"))
-    return settle(grouped.mapInArrow(run, "row long, segments array<struct<start:int,end:int>>"), "repeated-places")
+    return settle(grouped.mapInArrow(run, "row binary, places array<long>"), "repeated-places")
 
 
 def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -338,24 +349,42 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets); one row for each row of ``docs``.
 
     Null texts count as empty and, like all texts under 400 bytes, lose nothing; rows that are there twice repeat each other; a null
-    doc_id is kept; an empty table gives no rows.
+    doc_id is kept; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for text, segs in zip(batch.column("text").to_pylist(), batch.column("segments").to_pylist()):
-                data, spans = text.encode(), [(s["start"], s["end"]) for s in segs or ()]
-                out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)))
-            cols = list(zip(*out)) if out else [()] * 5
-            types = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    rows = with_places(_rows(docs), repeated_places(docs), "left").select("doc_id", "text", "segments")
+            for first in range(0, batch.num_rows, ROWS):
+                some, out = batch.slice(first, ROWS), []
+                for text, places in zip(some.column("text").to_pylist(), some.column("places").to_pylist()):
+                    data, spans = text.encode(), [(p >> 32, p & 0xFFFFFFFF) for p in places or ()]
+                    out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(data, spans)).hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)))
+                types = [pa.int64()] * 3 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    rows = with_places(_rows(docs), repeated_places(docs), "left").select("doc_id", "text", "places")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substring(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+k AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+repeated AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w SEMI JOIN k USING (k)),
+runs AS (SELECT r, i, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM repeated),
+spans AS (SELECT r, g, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+kept AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS h
+  FROM cut JOIN d USING (r) GROUP BY r
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN kept USING (r)
+"""

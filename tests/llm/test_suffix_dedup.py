@@ -38,7 +38,7 @@ def corpus():
     return [(i * 3, t) for i, t in enumerate(texts)] + [(0, None), (18, long), (None, passage)]
 
 
-@pytest.mark.parametrize("broadcast, bucket", [(1 << 20, 400_000), (0, 150)])
+@pytest.mark.parametrize("broadcast, bucket", [(1 << 20, 400_000), (0, 150), (0, 5)])
 def test_against_brute_force(spark, monkeypatch, broadcast, bucket):
     monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(S, "BUCKET", bucket)
@@ -52,12 +52,54 @@ def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_multikey_order():
-    r = np.random.default_rng(1)
-    keys = [r.integers(0, 3, 500) for _ in range(3)]
-    order = S.multikey_order(keys)
-    rows = list(zip(*(k[order] for k in keys)))
-    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(500))
+def shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"\0a\xff"])
+def test_multikey_order(letters):
+    r = random.Random(1)
+    strings = [bytes(r.choice(letters) for _ in range(r.choice([0, 3, 8, 24, 24]))) for _ in range(300)]
+    strings += [s[: r.randrange(25)] + bytes(r.choice(letters) for _ in range(3)) for s in strings]
+    filled = [s[:24].ljust(24, b"\0") for s in strings]
+    order, lengths = S.multikey(S.as_words(filled, 24))
+    assert [filled[i] for i in order] == sorted(filled) and sorted(order.tolist()) == list(range(len(filled)))
+    assert lengths.tolist() == [0] + [shared(filled[i], filled[j]) for i, j in zip(order, order[1:])]
+
+
+def test_windows_of_a_bucket():
+    r = random.Random(3)
+    core = bytes(r.choice(b"abc") for _ in range(700))
+    n, at, left, right = [], [], [], []
+    for _ in range(60):  # an anchor at 300 of the core, what surrounds it equal for some way
+        a, b = r.randrange(0, 273), r.randrange(128, 400)
+        x, y = bytes(r.choice(b"ab") for _ in range(400)), bytes(r.choice(b"ab") for _ in range(400))
+        before, after = (x + core[300 - a : 300])[-272:], (core[300 : 300 + b] + y)[:400]
+        m, k = sorted((r.randrange(273), r.randrange(273)))
+        left.append(before[272 - k :])
+        right.append(after[: 400 - m])
+        at.append(k)
+        n.append(k - m + 1)
+    copied = np.array([r.random() < 0.1 for _ in n])
+    hit, edge = S.compared(left, right, np.array(at), np.array(n), copied)
+    window = lambda i, o: left[i][len(left[i]) - o :] + right[i][: 400 - o]
+    for o in range(273):
+        here = [i for i in range(60) if at[i] - n[i] < o <= at[i]]
+        for i in here:
+            assert hit[i, o] == (copied[i] or any(window(i, o) == window(j, o) for j in here if j != i))
+    assert edge.any()
+
+
+def test_sql_gives_the_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [r for r in corpus()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.sql(S.ORACLE_SQL).fetchall()
+    assert sorted((tuple(g[:5]) for g in got), key=str) == brute(rows)
+    assert sorted(map(str, got)) == sorted(str(tuple(x)) for x in S.op4_suffix_dedup(spark, str(tmp_path)).collect())
 
 
 def test_chunks_of_a_long_text_agree(monkeypatch):
@@ -66,5 +108,5 @@ def test_chunks_of_a_long_text_agree(monkeypatch):
     whole = [np.concatenate(x) for x in zip(*S.segments([text]))]
     monkeypatch.setattr(S, "CHUNK", 1000)
     parts = [np.concatenate(x) for x in zip(*S.segments([text]))]
-    anchors = lambda x: {int(a) + i: int(h) for a, n, at, h in zip(x[1], x[2], x[4], x[4]) for i in range(n)}
+    anchors = lambda x: {int(a) + i: (int(a) + int(at), int(h)) for a, n, at, h in zip(x[1], x[2], x[3], x[4]) for i in range(n)}
     assert anchors(whole) == anchors(parts) and len(anchors(whole)) == 5601
