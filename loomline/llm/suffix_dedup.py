@@ -11,7 +11,8 @@ byte of the corpus, so suffixes are taken at anchors, which stand for all window
     leading bytes; each bucket sorts them by multikey quicksort, and what stands to their left, read backwards, likewise; both orders give the length that
     neighbours share.  The windows that begin ``o`` bytes before their anchors are equal where the suffixes share 400 - o bytes and what is left of
     them o bytes: runs of the two orders, compared for each ``o``.
-4.  A run at the end of a bucket may go on in the next one: its windows are compared across the boundary by digests of their 400 bytes.
+4.  A run at the end of a bucket may go on in the next one: of its windows, one of each content goes on to buckets by what is left of the anchors, where it
+    is compared again; what is at the end of a bucket there too is compared across the boundaries by digests of its 400 bytes.
 
 Splitters are suffixes, then what is left of them, so that an anchor that occurs in a third of all documents is spread over many buckets.
 """
@@ -167,34 +168,31 @@ def as_words(strings: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join([s.ljust(length, b"\0") for s in strings]), ">u8").reshape(len(strings), length // 8).astype(np.uint64)
 
 
-def compared(left: list[bytes], right: list[bytes], at: np.ndarray, n: np.ndarray, copied: np.ndarray):
-    """Of the windows of some segments: which equal another, and which are at the ends of the order and equal none or stand for their equals.
+def compared(left: list[bytes], right: list[bytes], active: np.ndarray, by_suffix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows ``active`` of some segments: which equal another, and one of each content whose run is at an end of the order, which others may share.
 
-    Both as boolean arrays (segments, REACH + 1): the window that begins ``o`` bytes before the anchor.
+    Both, as ``active``, are boolean arrays (segments, REACH + 1): the window that begins ``o`` bytes before the anchor.  ``left`` is read backwards.
     """
     by_right, shared_right = multikey(as_words(right, LENGTH))
-    by_left, shared_left = multikey(as_words([x[::-1] for x in left], REACH))
-    size = len(at)
-    hit, edge = np.zeros((size, REACH + 1), dtype=bool), np.zeros((size, REACH + 1), dtype=bool)
-    run = np.empty(size, dtype=np.int64)
-    runs = np.empty(size, dtype=np.int64)
-    for o in range(REACH + 1):
-        active = np.flatnonzero((o <= at) & (o > at - n))
-        if not len(active):
-            continue
+    by_left, shared_left = multikey(as_words(left, REACH))
+    size = len(active)
+    hit, edge = np.zeros(active.shape, dtype=bool), np.zeros(active.shape, dtype=bool)
+    run, runs = np.empty(size, dtype=np.int64), np.empty(size, dtype=np.int64)
+    for o in np.flatnonzero(active.any(axis=0)).tolist():
+        here = np.flatnonzero(active[:, o])
         runs[by_right] = np.cumsum(shared_right < LENGTH - o)
-        ends = runs[by_right[[0, -1]]]
         run[by_left] = np.cumsum(shared_left < o) if o else 0
-        key = runs[active] * (size + 1) + run[active]
+        main, order = (runs, by_right) if by_suffix else (run, by_left)
+        key = runs[here] * (size + 1) + run[here]
         by = np.argsort(key, kind="stable")
-        key, who = key[by], active[by]
+        key, who = key[by], here[by]
         same = key[1:] == key[:-1]
         first = np.append(True, ~same)
         equal = ~first
         equal[:-1] |= same
         hit[who[equal], o] = True
-        edge[who[first & np.isin(runs[who], ends)], o] = True
-    return hit | copied[:, None], edge
+        edge[who[first & np.isin(main[who], main[order[[0, -1]]])], o] = True
+    return hit, edge
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -249,7 +247,7 @@ SUFFIX = "row binary, start int, n int, at int, copied boolean, left binary, rig
 
 
 def suffix_table(opened: DataFrame) -> DataFrame:
-    """The open segments of ``opened`` (row, text, places) with their bytes: to the left of the anchor, and from it on."""
+    """The open segments of ``opened`` (row, text, places) with their bytes: to the left of the anchor, backwards, and from it on."""
 
     def run(batches):
         import pyarrow as pa
@@ -263,51 +261,103 @@ def suffix_table(opened: DataFrame) -> DataFrame:
                     b = a + 2048
                     cuts = list(zip(start[a:b].tolist(), at[a:b].tolist(), n[a:b].tolist()))
                     ints = [pa.array(x[a:b].astype(np.int32)) for x in (start, n, at)]
-                    left, right = [data[s : s + m] for s, m, _ in cuts], [data[s + m : s + k + LENGTH - 1] for s, m, k in cuts]
+                    left, right = [data[s : s + m][::-1] for s, m, _ in cuts], [data[s + m : s + k + LENGTH - 1] for s, m, k in cuts]
                     row = pa.array([batch.column("row")[i].as_py()] * len(cuts), pa.binary())
                     yield pa.RecordBatch.from_arrays([row, *ints, pa.array(copied[a:b]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["row", "start", "n", "at", "copied", "left", "right"])
 
     return opened.select("row", "text", "places").mapInArrow(run, SUFFIX)
 
 
-def repeated_windows(suffixes: DataFrame, n: int) -> DataFrame:
-    """row, start, n of the windows that equal others, of the ``n`` segments of ``suffixes``."""
-    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
+def _stretches(segments, found: np.ndarray, names: list[str]):
+    """An Arrow batch of the windows ``found`` of ``segments`` (a table), neighbours together: row, start, n, and nulls for the other columns."""
+    import pyarrow as pa
+
+    marked = np.zeros((len(found), REACH + 3), dtype=bool)
+    marked[:, 1:-1] = found
+    who, low = np.nonzero(marked[:, 1:] & ~marked[:, :-1])
+    _, high = np.nonzero(marked[:, :-1] & ~marked[:, 1:])
+    anchor = (segments.column("start").to_numpy() + segments.column("at").to_numpy())[who]
+    kinds = {"left": pa.binary(), "right": pa.binary(), "edge": pa.binary(), "known": pa.binary(), "at": pa.int32(), "d1": pa.int64(), "d2": pa.int64(), "open": pa.bool_()}
+    columns = {"row": segments.column("row").combine_chunks().take(pa.array(who)), "start": pa.array((anchor - high + 1).astype(np.int32)), "n": pa.array((high - low).astype(np.int32))}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(who), kinds.get(c))) for c in names], names=names)
+
+
+def _bits(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())
+
+
+def _mask(column) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(flat, axis=1)[:, : REACH + 1].astype(bool)
+
+
+def _whole(batches):
+    """A bucket as one table; None if it is empty."""
+    import pyarrow as pa
+
+    got = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(got) if got else None
+
+
+def by_suffixes(suffixes: DataFrame, parts: int) -> DataFrame:
+    """Repeated windows (row, start, n; at is null), and the segments with windows at the ends of buckets (edge: these windows; known: those of them known to be repeated)."""
+    names = ["row", "start", "n", "at", "left", "right", "edge", "known"]
 
     def run(batches):
         import pyarrow as pa
 
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
+        if (t := _whole(batches)) is None:
             return
-        t = pa.Table.from_batches(got)
-        at, count, start, copied = (t.column(c).to_numpy() for c in ("at", "n", "start", "copied"))
-        left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-        hit, edge = compared(left, right, at, count, copied)
-        # windows found here, as stretches: a window o bytes before the anchor starts at start + at - o
-        mine = np.zeros((len(at), REACH + 3), dtype=bool)
-        mine[:, 1:-1] = hit & ~copied[:, None] & (np.arange(REACH + 1) <= at[:, None]) & (np.arange(REACH + 1) > (at - count)[:, None])
-        who, low = np.nonzero(mine[:, 1:] & ~mine[:, :-1])
-        _, high = np.nonzero(mine[:, :-1] & ~mine[:, 1:])
-        ints = [pa.array(x.astype(np.int32)) for x in (start[who] + at[who] - high + 1, high - low)]
-        zero = pa.array(np.zeros(len(who), np.int64))
-        row = t.column("row").combine_chunks()
-        yield pa.RecordBatch.from_arrays([row.take(pa.array(who)), *ints, pa.array(np.ones(len(who), bool)), zero, zero], names=["row", "start", "n", "known", "d1", "d2"])
+        at, n, o = t.column("at").to_numpy()[:, None], t.column("n").to_numpy()[:, None], np.arange(REACH + 1)
+        active, copied = (o <= at) & (o > at - n), t.column("copied").to_numpy()[:, None]
+        hit, edge = compared(t.column("left").to_pylist(), t.column("right").to_pylist(), active, True)
+        yield _stretches(t, hit & ~copied, names)
+        some = np.flatnonzero(edge.any(axis=1))
+        t = t.take(pa.array(some)).combine_chunks()
+        yield from t.append_column("edge", _bits(edge[some])).append_column("known", _bits((hit | copied)[some])).select(names).to_batches()
+
+    dealt = suffixes.repartitionByRange(parts, "right", "left", "row", "start")
+    return dealt.mapInArrow(run, "row binary, start int, n int, at int, left binary, right binary, edge binary, known binary")
+
+
+def by_lefts(edges: DataFrame, parts: int) -> DataFrame:
+    """Repeated windows (row, start, n; open is null), and windows at the ends of buckets with their digest; open: not known to be repeated."""
+    names = ["row", "start", "n", "open", "d1", "d2"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        if (t := _whole(batches)) is None:
+            return
+        left, right, known = t.column("left").to_pylist(), t.column("right").to_pylist(), _mask(t.column("known"))
+        hit, edge = compared(left, right, _mask(t.column("edge")), False)
+        yield _stretches(t, hit & ~known, names)
+        known |= hit
         who, o = np.nonzero(edge)
+        anchor, row = t.column("start").to_numpy() + t.column("at").to_numpy(), t.column("row").combine_chunks()
         for a in range(0, len(who), 1 << 16):
             w, x = who[a : a + (1 << 16)], o[a : a + (1 << 16)]
-            whole = [left[i][len(left[i]) - k :] + right[i][: LENGTH - k] if k else right[i][:LENGTH] for i, k in zip(w.tolist(), x.tolist())]
+            whole = [left[i][:k][::-1] + right[i][: LENGTH - k] for i, k in zip(w.tolist(), x.tolist())]
             d = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in whole), "<i8").reshape(-1, 2)
-            ints = [pa.array(y.astype(np.int32)) for y in (start[w] + at[w] - x, np.ones(len(w)))]
-            flags = pa.array(hit[w, x])
-            yield pa.RecordBatch.from_arrays([row.take(pa.array(w)), *ints, flags, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["row", "start", "n", "known", "d1", "d2"])
+            ints = [pa.array(y.astype(np.int32)) for y in (anchor[w] - x, np.ones(len(w)))]
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(w)), *ints, pa.array(~known[w, x]), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=names)
 
-    dealt = suffixes.repartitionByRange(parts, "right", "left", "row", "start")
-    found = settle(dealt.mapInArrow(run, "row binary, start int, n int, known boolean, d1 long, d2 long"), "compared-windows")
-    at_ends = found.where("d1 <> 0 or d2 <> 0")
+    dealt = edges.repartitionByRange(parts, "left", "right", "row", "start")
+    return dealt.mapInArrow(run, "row binary, start int, n int, open boolean, d1 long, d2 long")
+
+
+def repeated_windows(suffixes: DataFrame, n: int) -> DataFrame:
+    """row, start, n of the windows that equal others, of the ``n`` segments of ``suffixes``."""
+    least = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = settle(by_suffixes(suffixes, max(least, -(-n // BUCKET))), "compared-suffixes")
+    edges = first.where("at is not null")
+    second = settle(by_lefts(edges, max(1, -(-edges.count() // BUCKET))), "compared-lefts")
+    at_ends = second.where("open is not null")
     across = at_ends.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-    across = at_ends.where("not known").join(across, ["d1", "d2"], "left_semi")
-    return found.where("d1 = 0 and d2 = 0").select("row", "start", "n").unionByName(across.select("row", "start", "n"))
+    across = at_ends.where("open").join(across, ["d1", "d2"], "left_semi")
+    return first.where("at is null").select("row", "start", "n").unionByName(second.where("open is null").select("row", "start", "n")).unionByName(across.select("row", "start", "n"))
 
 
 def merged(segs: list[dict] | None) -> list[tuple[int, int]]:

@@ -80,14 +80,14 @@ def test_windows_of_a_bucket():
         right.append(after[: 400 - m])
         at.append(k)
         n.append(k - m + 1)
-    copied = np.array([r.random() < 0.1 for _ in n])
-    hit, edge = S.compared(left, right, np.array(at), np.array(n), copied)
+    active = np.array([[k - m < o <= k for o in range(273)] for k, m in zip(at, n)])
     window = lambda i, o: left[i][len(left[i]) - o :] + right[i][: 400 - o]
-    for o in range(273):
-        here = [i for i in range(60) if at[i] - n[i] < o <= at[i]]
-        for i in here:
-            assert hit[i, o] == (copied[i] or any(window(i, o) == window(j, o) for j in here if j != i))
-    assert edge.any()
+    for by_suffix in (True, False):
+        hit, edge = S.compared([x[::-1] for x in left], right, active, by_suffix)
+        for o in range(273):
+            for i in range(60):
+                assert hit[i, o] == (active[i, o] and any(window(i, o) == window(j, o) for j in np.flatnonzero(active[:, o]) if j != i))
+        assert edge.any() and not (edge & ~active).any()
 
 
 def test_sql_gives_the_rows(spark, tmp_path):
