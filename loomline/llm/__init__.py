@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op4_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_source_mix": mixture.ORACLE_SQL, "op4_suffix_dedup": suffix_dedup.ORACLE_SQL}

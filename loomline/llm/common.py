@@ -50,6 +50,22 @@ def text_bytes(df: DataFrame) -> int:
     return stated if stated < 1 << 60 else df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
 
 
+def plain_names(df: DataFrame, *read: str):
+    """``df`` with its columns, but for those that are ``read``, under names that nothing else uses, and a function that gives a result its names back."""
+    own = {c: f"own_{uuid.uuid4().hex}_{i}" for i, c in enumerate(df.columns) if c.lower() not in read}
+    back = {v: k for k, v in own.items()}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    renamed = df.select(*(quoted(c).alias(own.get(c, c)) for c in df.columns))
+    return renamed, lambda out: out.select(*(quoted(c).alias(back.get(c, c)) for c in out.columns))
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches of a few rows, so that little of a batch is there as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once: a lambda variable is not inlined again."""
     return F.transform(F.array(value), body)[0]
