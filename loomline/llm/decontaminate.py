@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, settle, table
+from .common import let, plain_names, settle, table
 
 #: Words of a window, and words hashed together; WINDOW - GRAM + 1 hashes make a fingerprint.
 WINDOW, GRAM = 10, 5
@@ -81,10 +81,15 @@ def item_windows(items: DataFrame) -> DataFrame:
     return long.unionByName(short).distinct()
 
 
+def row_key() -> Column:
+    """128 bits that tell rows with different contents apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), text)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells rows with different contents apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    """doc_id, text and the key of the row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key().alias("row"))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = windows.where(F.col("length") == length)
         found.append(near.join(_small(known, n_windows), "words").select("row", "doc_id", "start", "length", "item"))
     if not found:
-        return rows.sparkSession.createDataFrame([], "row long, doc_id long, start int, length int, item string")
+        return rows.sparkSession.createDataFrame([], "row binary, doc_id long, start int, length int, item string")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -141,11 +146,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns, whatever their names.
+
+    Null and empty texts are clean; repeated rows stay or go together; without items everything stays; an empty table gives no rows.
+    """
+    named, back = plain_names(docs, "doc_id", "text")
     hit = settle(matches(docs, items).select(F.col("row").alias("__hit")).distinct(), "contaminated")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    return docs.join(_small(hit, hit.count()), F.xxhash64(doc_id.isNull(), doc_id, text) == F.col("__hit"), "left_anti")
+    return back(named.join(_small(hit, hit.count()), row_key() == F.col("__hit"), "left_anti"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

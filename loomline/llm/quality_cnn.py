@@ -13,16 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain_names, slices, table
 
 WIDTH, STEP, FILTERS, EMBED = 12, 2, 16, 8
 #: Bound of the training sample: labelled rows (those with the smallest hash of their doc_id).
 SAMPLE_ROWS = 3000
+#: Bound of a labelled text in training: so many bytes of its beginning at most, 48 MB of texts in all. Scores are of whole texts.
+SAMPLE_CHARS = 16_000
 STEPS, BATCH, RATE, DECAY = 700, 48, 0.01, 1e-4
 #: How far back a repetition may start, bytes that must agree, the symbol for it, and the gap between texts laid out together.
 BACK, AGREE, REPEAT, GAP = 32, 8, 1, 48
 #: Bytes that are scored together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 SCORE_SCHEMA = "doc_id long, score double"
 
@@ -87,7 +89,7 @@ class ByteCnn:
         return act
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Probability of label 1 for each text; texts are taken about a megabyte at a time."""
+        """Probability of label 1 for each text; texts are taken about a quarter of a megabyte at a time."""
         out, held, size = [], [], 0
         for t in texts:
             if held and size + len(t) > CHUNK:
@@ -160,13 +162,13 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ByteCnn:
-    """A network fitted to at most ``rows`` labelled documents that are not held out."""
+    """A network fitted to at most ``rows`` labelled documents that are not held out, of each at most SAMPLE_CHARS bytes."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).collect()
+    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.max(F.left("text", F.lit(SAMPLE_CHARS))).alias("text")).collect()
     sample.sort(key=lambda r: r.doc_id)
-    return ByteCnn().fit([r.text.encode() for r in sample], [r.quality for r in sample])
+    return ByteCnn().fit([r.text.encode()[:SAMPLE_CHARS] for r in sample], [r.quality for r in sample])
 
 
 def score(docs: DataFrame, model: ByteCnn) -> DataFrame:
@@ -179,7 +181,7 @@ def score(docs: DataFrame, model: ByteCnn) -> DataFrame:
         net = ByteCnn()
         net.p = {k: np.array(v) for k, v in weights.items()}
         net.ready()
-        for batch in batches:
+        for batch in slices(batches):
             got = net.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
@@ -197,9 +199,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score one half or more, with all their columns."""
+    """The rows of ``docs`` that score one half or more, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; without labels nothing goes; an empty table gives no rows.
+    """
     model = train(docs, labels)
     weights = {k: v.tolist() for k, v in model.p.items()}
+    docs, back = plain_names(docs, "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -207,11 +213,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         net = ByteCnn()
         net.p = {k: np.array(v) for k, v in weights.items()}
         net.ready()
-        for batch in batches:
+        for batch in slices(batches):
             got = net.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(got >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return back(docs.mapInArrow(run, docs.schema))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

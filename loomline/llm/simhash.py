@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import plain_names, settle, slices, table
 from .components import component_roots
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             got = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64()), *map(batch.column, more)], names=["doc_id", "fp", *more])
 
@@ -108,6 +108,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A row is known by its doc_id and that hash together, so repeated and missing doc_ids keep one row of their group like any other.
     """
+    docs, back = plain_names(docs, "doc_id", "text")
     keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
     found = settle(grouped(keyed, "__key").select("doc_id", "__key", "root"), "near-duplicates")
     repeated = found.groupBy("doc_id", "__key").count().where("count > 1").limit(1).count()
@@ -116,7 +117,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Documents are shuffled to their ids at every size: the list of ids grows with them, so it is not for broadcasting.
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__kept_key"))
     out = keyed.join(kept.hint("merge"), same, "left_semi").drop("__key")
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return back(out.dropDuplicates(["doc_id", "text"]) if repeated else out)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import accumulate, groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Any other character sends a text to the library whole. Of these, all steps treat each character by itself.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         import pyarrow as pa
 
         counter = counter_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             got = [counter.within(t, limit) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +150,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         counter = counter_of(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [counter.prefix_counts(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "prefix_tokens"])
 

@@ -61,6 +61,38 @@ def test_run_agrees_with_itself(spark, folder):
     assert first and first == sorted(map(str, corpus_pipeline.run(spark, folder).collect()))
 
 
+def test_odd_tables(spark, folder, tmp_path):
+    """Null, empty, repeated and very long texts, and columns named as the stages name theirs; then no rows."""
+    r = random.Random(9)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    rows = [(i, some(40), "s1") for i in range(30)] + [(None, None, None), (1, "", "s1"), (2, some(200_000), "s2"), (None, some(30), "s2"), (None, None, None)]
+    rows += [(3, rows[3][1], "s1")] * 3
+    own = ["shard", "__hit", "__size", "__group", "__key", "__piece", "__once", "__source", "__kept", "fp", "row", "key", "lang", "n chars", "a`b", "__runs", "once"]
+    schema = "doc_id long, text string, source string, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in own)
+    for name in ("labels", "benchmark"):
+        table(spark, folder, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    for n, some_rows in (("full", rows), ("empty", [])):
+        docs = spark.createDataFrame([(*x, *own) for x in some_rows], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path)).persist()
+            if name == "sharding":
+                assert docs.columns == ["doc_id", "text", "source", "input_shard", *own[1:], "shard"]
+            else:
+                assert docs.columns == before.columns
+            for x in docs.collect():
+                assert [x["input_" * (name == "sharding") + "shard"], *(x[c] for c in own[1:])] == own
+        assert bool(docs.count()) == (n == "full")
+
+
+def test_stages_keep_odd_rows(spark, folder):
+    rows = [(None, None, None), (5, "", "a"), (5, "", "a"), (6, "some words", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [x.text for x in corpus_pipeline.near_duplicates(spark, docs, folder).orderBy("doc_id").collect()] == ["", "some words"]
+    assert corpus_pipeline.decontamination(spark, docs, folder).count() == 4
+    last = corpus_pipeline.sharding(spark, docs, folder).collect()
+    assert len(last) == 4 and len({x.shard for x in last if not x.text}) == 1
+
+
 def plain_pack(sizes, capacity):
     bins, out = [], []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
@@ -89,6 +121,30 @@ def test_best_fit_decreasing(seed):
     assert sharding.pack([], 3) == []
 
 
+@pytest.mark.parametrize("ranked, broadcast", [(1 << 14, 1000), (3, 0)])
+def test_every_group_is_packed(spark, monkeypatch, ranked, broadcast):
+    import hashlib
+    import zlib
+
+    monkeypatch.setattr(sharding, "RANKED", ranked)
+    monkeypatch.setattr(sharding, "BROADCAST_GROUPS", broadcast)
+    r = random.Random(5)
+    texts = ["x" * r.randrange(20) + f"{i:03d}" for i in range(300)] + ["y" * r.randrange(2000, 5000) for _ in range(20)] + ["copy"] * 400 + ["other copy"] * 9
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 7).collect()
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    halves = lambda t: tuple(signed(int(hashlib.md5(t.encode()).hexdigest()[a : a + 16], 16)) for a in (0, 16))
+    groups = sorted(set(texts), key=halves)  # of one size, in order of their digests
+    bins = dict(zip(groups, sharding.pack([texts.count(t) * (len(t) + 8) for t in groups], 7)))
+    assert {g.doc_id: g.shard for g in got} == {i: bins[t] for i, t in enumerate(texts)}
+    assert {g.doc_id: g.text_crc32 for g in got} == {i: zlib.crc32(t.encode()) for i, t in enumerate(texts)}
+
+
+def test_classes_of_sizes(spark):
+    sizes = [0, 8, 32767, 32768, 32769, 65535, 65536, 65537, 10**6, 10**9 + 7, 2**40 + 1, 10**15]
+    got = [x[0] for x in spark.createDataFrame([(n,) for n in sizes], "n long").select(sharding.size_class(sharding.F.col("n"))).collect()]
+    assert all(n <= c <= n * (1 + 1 / 1024) for n, c in zip(sizes, got)) and got[:4] == sizes[:4]
+
+
 def test_shards(spark):
     import zlib
 
@@ -141,6 +197,57 @@ def test_mix(spark):
     assert mixture.mix_sources(df.limit(0)).count() == 0
 
 
+def plain_taken(rows, targets):
+    """Words taken of each row: complete epochs, then rows by key until the rest is full."""
+    import hashlib
+    import math
+
+    out = []
+    for source, (size, target) in targets.items():
+        mine = []
+        for i, t, s in rows:
+            if s == source:
+                t = t or ""
+                n = len(re.findall("[^ \t-\r]+", t))
+                digest = hashlib.md5(f"42:{'' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+                weight = max(0.1, 1 / (1 + abs(math.log((len(t) + 1) / (n + 1) / 7))))
+                mine.append((-math.log((int(digest[:13], 16) + 1) / 2**52) / weight, n, str(i)))
+        epochs = int(target // size) if size else 0
+        rest = math.floor(target) - epochs * size
+        for _, n, i in sorted(mine):
+            out.append((i, n, epochs * n + min(n, rest)))
+            rest -= min(n, rest)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_the_keys_decide_what_is_taken(spark, hot):
+    r = random.Random(8)
+    rows = [(i, " ".join("x" * r.randrange(1, 9) for _ in range(r.randrange(0, 30))), r.choice("abcd")) for i in range(400)]
+    rows += [(None, None, "a"), (None, "w w", "b"), (7, "w w", None)] + rows[:40]
+    if hot:
+        rows = rows + [(i % 2 or None, "word", "a") for i in range(1000)] + [(5, f"text {i}", "c") for i in range(500)]
+    got = mixture.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    targets = {g.source: (g.source_size, g.target) for g in got}
+    assert sorted((str(g.doc_id), g.size, g.taken) for g in got) == plain_taken(rows, targets)
+
+
+def test_repeated_rows_fill_the_target(spark):
+    rows = spark.range(1000).selectExpr("1L AS doc_id", "'word' AS text", "'a' AS source").repartition(7)
+    got = mixture.mix_sources(rows).agg({"target": "max", "taken": "sum"}).first()
+    assert abs(got["sum(taken)"] - got["max(target)"]) <= 1 and got["max(target)"] == 1500
+    assert mixture.mixed_documents(rows).count() == 1500
+
+
+def test_sql_of_the_mix(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got = [tuple(x) for x in mixture.op3_source_mix(spark, folder).collect()]
+    assert sorted(got) == sorted(con.sql(mixture.ORACLE_SQL).fetchall())
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "abc", "x"), (3, "x" * 3_000_000, "x"), (3, "x" * 3_000_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
