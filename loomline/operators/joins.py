@@ -25,13 +25,14 @@ def last_wins_join(left: DataFrame, right: DataFrame, on: list[str], *order: Col
 
 
 def priority_join(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], left_id: str, right_id: str) -> DataFrame:
-    """``left`` with the right row that shares the earliest key of the list: (left_id, right_id, key number); each side's keys are exploded, so this is one equi join."""
+    """``left`` with the smallest right row that shares the earliest key of the list: (left_id, right_id, key number); each side's keys are exploded, so this is one equi join."""
 
     def spread(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
         entries = F.array(*(F.struct(F.lit(i).alias("n"), k.cast("string").alias("k")) for i, k in enumerate(keys)))
         return df.select(name, F.explode(entries).alias("e")).select(name, "e.n", "e.k").where("k is not null and k <> ''")
 
-    pairs = spread(left, left_keys, left_id).join(spread(right, right_keys, right_id), ["n", "k"])
+    known = spread(right, right_keys, right_id).groupBy("n", "k").agg(F.min(right_id).alias(right_id))  # one row for each key, however many share it
+    pairs = spread(left, left_keys, left_id).join(known, ["n", "k"])
     best = pairs.groupBy(left_id).agg(F.min(F.struct("n", right_id)).alias("b"))
     return left.join(best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.n").alias("key_number")), left_id, "left")
 
@@ -75,22 +76,25 @@ def under_prefix(inner: DataFrame, outer: DataFrame, inner_path: str, outer_path
     return spread.join(outer.withColumnRenamed(outer_path, "__prefix"), "__prefix").withColumnRenamed("__prefix", outer_path)
 
 
-def hamming_pairs(df: DataFrame, id_: str, bits: str, distance: int, bands: int | None = None) -> DataFrame:
-    """Pairs (a, b, distance) with a < b whose 64-bit values differ in at most ``distance`` bits.
+def hamming_pairs(df: DataFrame, id_: str, bits: str, distance: int) -> DataFrame:
+    """Links (a, b, distance) with a < b between rows whose 64-bit values differ in at most ``distance`` bits.
 
-    Of distance + 1 bands one is equal, so an equi join on bands finds every pair; the first equal band names it once.
-    Rows of one value are joined once per value, not per row of a band.
+    A value is represented by its smallest id: its other rows are linked to that one (distance 0), and different values to each other through
+    theirs, so that a frequent value gives a row each and not a pair of each two.  Of distance + 2 bands two are equal, so an equi join on pairs of
+    bands finds every link.
     """
-    n = bands or distance + 1
+    n = distance + 2
     cuts = [64 * i // n for i in range(n + 1)]
-    mask = lambda i: ((1 << (cuts[i + 1] - cuts[i])) - 1)
-    band = [F.shiftrightunsigned(bits, cuts[i]).bitwiseAND(F.lit(mask(i) if mask(i) < 2**63 else -1).cast("long")) for i in range(n)]
-    spread = df.select(id_, bits, F.posexplode(F.array(*band)).alias("__band", "__value"))
+    band = [F.shiftrightunsigned("bits", cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1).cast("long")) for i in range(n)]
+    rows = df.where(F.col(bits).isNotNull()).select(F.col(id_).alias("id"), F.col(bits).alias("bits"))
+    values = rows.groupBy("bits").agg(F.min("id").alias("id"))
+    same = rows.join(values.withColumnRenamed("id", "a"), "bits").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    keys = F.array(*(F.struct(F.lit(i * n + j).alias("k"), (F.shiftleft(band[i], 32) + band[j]).alias("v")) for i in range(n) for j in range(i + 1, n)))
+    spread = values.select("id", "bits", F.explode(keys).alias("key"))
     a, b = spread.alias("a"), spread.alias("b")
-    differ = F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))
-    j = a.join(b, (F.col("a.__band") == F.col("b.__band")) & (F.col("a.__value") == F.col("b.__value")) & (F.col(f"a.{id_}") < F.col(f"b.{id_}")))
-    pairs = j.where(F.bit_count(differ) <= distance).select(F.col(f"a.{id_}").alias("a"), F.col(f"b.{id_}").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
-    return pairs.distinct()
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("int")
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (differ <= distance))
+    return same.unionByName(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), differ.alias("distance")).distinct())
 
 
 def first_violation(claims: DataFrame, limits: DataFrame, keys: list[str], value: str, operator: str, limit: str, per: list[str], *order: Column) -> DataFrame:

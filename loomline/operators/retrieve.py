@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_tokens: Column, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, bm25 of every document that shares a token; repeated query tokens count again.
 
-    Only tokens that queries ask for leave the scan of the documents: counts of a document are summed in place, and what is
-    shuffled is one row for each document and asked token.
+    Documents are tokenised once: each gives its length, under no token, and the counts of the tokens that queries ask for. That table is
+    written, and the number of documents, their mean length and the documents of each token are read from it.
     """
-    # The array is bound once in a lambda: a length projected beside the explode would tokenise the text again for every token.
-    counted = F.transform(F.array(doc_tokens), lambda t: F.transform(t, lambda x: F.struct(F.size(t).alias("__len"), x.alias("token"))))[0]
-    lengths = docs.select(F.size(doc_tokens).alias("__len"))
-    totals = lengths.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"))
+    spark = docs.sparkSession
     asked = queries.select(query_id, F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("__times"))
-    wanted = asked.select("token").distinct()
+    none = F.lit("")  # tokens are never empty
+    wanted = asked.select("token").distinct().unionByName(spark.range(1).select(none.alias("token")))
+    # The array is bound once in a lambda: a length projected beside the explode would tokenise the text again for every token.
+    counted = F.transform(F.array(doc_tokens), lambda t: F.transform(F.concat(F.array(none), t), lambda x: F.struct((F.size(t)).alias("__len"), x.alias("token"))))[0]
     tf = docs.select(doc_id, F.explode(counted).alias("x")).select(doc_id, "x.__len", "x.token").join(wanted, "token", "left_semi")
-    tf = tf.groupBy(doc_id, "__len", "token").agg(F.count("*").alias("__tf"))
+    tf.groupBy(doc_id, "__len", "token").agg(F.count("*").alias("__tf")).write.parquet(path := scratch(spark, "term-counts"))
+    tf = spark.read.parquet(path)
+    # rows that are there several times are counted together under one id
+    totals = tf.where(F.col("token") == none).agg(F.sum("__tf").alias("__n"), (F.sum(F.col("__len") * F.col("__tf")) / F.sum("__tf")).alias("__avg"))
+    tf = tf.where(F.col("token") != none)
     df = tf.groupBy("token").agg(F.count("*").alias("__df"))
     hits = tf.join(df, "token").join(F.broadcast(totals)).join(asked, "token")  # totals: one row
     idf = F.log(1 + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))

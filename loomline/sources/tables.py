@@ -58,5 +58,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomline_scratch", None)
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = sc._loomline_scratch = "file://" + tempfile.mkdtemp(prefix="loomline-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -94,11 +94,28 @@ def test_hamming_pairs_lose_nothing(spark):
     import random
 
     r = random.Random(1)
-    bits = [r.getrandbits(63) for _ in range(20)]
+    bits = [r.getrandbits(63) for _ in range(20)] + [-1, -2]
     bits += [b ^ sum(1 << i for i in r.sample(range(63), r.randrange(8))) for b in bits for _ in range(3)]
-    got = {(p.a, p.b, p.distance) for p in joins.hamming_pairs(spark.createDataFrame(list(enumerate(bits)), "id int, bits long"), "id", "bits", 5).collect()}
-    want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for j in range(len(bits)) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= 5}
-    assert got == want
+    bits += bits[:9] * 2 + [5] * 300
+    got = [(p.a, p.b, p.distance) for p in joins.hamming_pairs(spark.createDataFrame([*enumerate(bits), (9999, None)], "id int, bits long"), "id", "bits", 5).collect()]
+    first = {v: i for i, v in reversed(list(enumerate(bits)))}
+    apart = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    want = {(first[v], i, 0) for i, v in enumerate(bits) if first[v] < i} | {(i, j, apart(x, y)) for x, i in first.items() for y, j in first.items() if i < j and apart(x, y) <= 5}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_priority_join_of_a_frequent_key(spark):
+    left = spark.range(50).selectExpr("id AS l", "'a' AS x", "'b' AS y")
+    right = spark.range(70).selectExpr("id + 3 AS r", "if(id = 60, 'a', null) AS x", "'b' AS y")
+    got = joins.priority_join(left, right, [F.col("x"), F.col("y")], [F.col("x"), F.col("y")], "l", "r").collect()
+    assert {(g.r, g.key_number) for g in got} == {(63, 0)} and len(got) == 50
+
+
+def test_compare_with_missing_rows(spark):
+    e = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "k int, quality int")
+    a = spark.createDataFrame([(2, 5), (3, 5), (4, 5)], "k int, n int")
+    got = {x.k: (x.status, x.failed_checks) for x in joins.outer_compare(e, a, "k", {"quality": F.col("e.quality") == 1, "n": F.col("a.n") > 1}).collect()}
+    assert got == {1: ("missing", ""), 2: ("passed", ""), 3: ("failed", "quality"), 4: ("extra", "")}
 
 
 def test_interval_and_prefix_joins(spark):
