@@ -1,9 +1,9 @@
 """Secrets in texts: fixed patterns, and literals assigned to sensitive names.
 
-The base patterns are searched everywhere.  The lexer adds to them: it reads ``name = literal`` pairs of
-source code and configuration syntax (``=``, ``:``, ``:=``, ``=>``, quoted or bare literals, command-line
-options, XML-like tags), follows names that stand for an earlier literal, and scores a literal by how
-sensitive the words of its target names are and how random the literal looks.
+The base patterns are searched everywhere.  The lexer adds to them: it reads name-literal pairs of source code and configuration syntax
+(``=``, ``:``, ``:=``, ``=>``, subscripts, calls with a name and a value, command-line options, XML-like tags; strings with prefixes, escapes,
+either quote, triple quotes and concatenation; bare literals).  A name may stand for a literal that is bound before or after it, directly or
+through other names.  A literal is scored by how sensitive the words of all its target names are and how random it looks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as [0-9a-f]+ of 32 or more: a shorter run fails at each of its places
 KINDS = ("assign", "access", "hex", "literal")
 
-#: name and operator, of any length and spacing.  Quantifiers are possessive or end at a character that starts no second try, so that a text is read in linear time.
-HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])(?:--?|<|["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=>])[ \t]*+""", re.A)
+#: name and operator, of any length and spacing, or a quoted name before a quoted value.  Quantifiers are possessive or end at a character that starts no second try, so that a text is read in linear time.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.-])(?:--?|<|["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:["']?\]?[ \t]*+(?::=|=>|[:=>])[ \t]*+|["'][ \t]*+,[ \t]*+(?=["']))""", re.A)
 #: A type or a further name before the operator of the literal: ``str =``, ``Optional[str] =``, ``str | None =``.
 INDEX = r"(?:[ \t]*+\[(?:[^][\n]|\[[^][\n]*+\])*+\])?+"
 TYPED = re.compile(rf"(?P<type>[A-Za-z_][A-Za-z0-9_.]*+){INDEX}(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+{INDEX})*+[ \t]*+:?=(?![=>])[ \t]*+", re.A)
 #: Names without spaces between them and a quoted literal.
 CHAIN = re.compile(r"""(?:[A-Za-z_][A-Za-z0-9_.]*+=)++(?=["'])""", re.A)
-#: Quoted literals end at their quote, in triple quotes over lines; bare ones at white space or punctuation.
-QUOTED = re.compile(r"""(?P<t>"{3}|'{3})(?P<triple>(?s:.+?))(?P=t)|(?P<q>["'])(?P<quoted>[^"'\n]++)(?P=q)""", re.A)
+#: A string: prefix, either quote, escapes; triple quotes over lines.  Bare literals end at white space or punctuation.
+STRING = re.compile(r"""(?:[bfruBFRU]{1,2}(?=["']))?(?:(?P<t>"{3}|'{3})(?P<triple>(?s:(?:\\.|(?!(?P=t))[^\\])*+))(?P=t)|(?P<q>["'])(?P<quoted>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q))""", re.A)
+#: What joins strings to one literal: an operator, a continued line, or nothing.
+JOIN = re.compile(r"""[ \t]*+(?:[+.&][ \t]*+(?:\\?\n[ \t]*+)?|\\\n[ \t]*+)?(?=[bfruBFRU]{0,2}["'])""", re.A)
 BARE = re.compile(r"[A-Za-z0-9+/_.=@$%^&*!~-]++", re.A)
 INNER = re.compile(r"([A-Za-z_][A-Za-z0-9_.]*+)=(?!=)", re.A)
 OPERATOR = re.compile(r"[ \t]*+[:=>]")
@@ -45,8 +48,8 @@ SENSITIVE = {
 }
 HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|example|changeme|your[_-].*|x{3,}|\*+|\$\{.*|\{\{.*|<.*|%.*%|env[.(].*|os[.]environ.*)$")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.A)
-#: Least score of a literal that is reported, and its least length.
-LEAST_SCORE, LEAST_LENGTH = 3.5, 8
+#: Least score of a literal that is reported, its least length, and that of one without digits.
+LEAST_SCORE, LEAST_LENGTH, LEAST_PHRASE = 3.5, 8, 16
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string"
 
@@ -70,25 +73,64 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(w.lower(), 0) for w in WORD.findall(name)), default=0) if name else 0
 
 
-def literal_score(literal: str, weight: float) -> float:
-    """Sensitivity of the names a literal is bound to, plus its variety; zero for placeholders and plain words."""
+def literal_score(literal: str, weight: float, quoted: bool = True) -> float:
+    """Sensitivity of the names a literal is bound to, plus its variety; zero for placeholders and plain words.
+
+    A literal without digits counts if it is quoted, is one word of two kinds of characters and has some length, and its name is of the most sensitive.
+    """
     if len(literal) < LEAST_LENGTH or HARMLESS.match(literal) or not weight:
         return 0.0
     classes = sum(bool(re.search(c, literal)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return 0.0 if classes < 2 or not re.search("[0-9]", literal) else weight + entropy(literal) / 2
+    if classes < 2 or not re.search("[0-9]", literal) and not (quoted and weight >= 3 and len(literal) >= LEAST_PHRASE and not re.search(r"\s", literal)):
+        return 0.0
+    return weight + entropy(literal) / 2
+
+
+class Bindings:
+    """Names and what they are bound to, a literal or another name, at places of a text."""
+
+    def __init__(self):
+        self.literals: dict[tuple[int, int], tuple[str, bool]] = {}
+        self.all: list[tuple[list[str], tuple[int, int] | None, str]] = []
+        self.of: dict[str, list[int]] = {}
+
+    def add(self, names: list[str], span: tuple[int, int], value: str, quoted: bool, refers: bool) -> float:
+        """Bind ``names`` to the literal at ``span``, or to the name ``value`` that stands there."""
+        self.literals[span] = (value, quoted)
+        for n in names:
+            self.of.setdefault(n, []).append(len(self.all))
+        self.all.append((names, span, value if refers else ""))
+        return max(map(name_weight, names))
+
+    def _next(self, i: int) -> int | None:
+        """The binding that binding ``i`` refers to: the last one of its name before it, or else the first after it."""
+        places = self.of.get(self.all[i][2]) if self.all[i][2] else None
+        if not places:
+            return None
+        at = bisect_left(places, i)
+        return places[at - 1] if at else places[0]
+
+    def spans(self) -> list[tuple[int, int, int]]:
+        weight: dict[tuple[int, int], float] = {}
+        end: dict[int, int] = {}  # of each binding, the one that has its literal
+        for i, (names, _, _) in enumerate(self.all):
+            path, at = [], i
+            while at not in end:
+                end[at] = at  # for now: names that stand for each other end where they meet
+                path.append(at)
+                if (following := self._next(at)) is None:
+                    break
+                at = following
+            for x in path:
+                end[x] = end[at]
+            span = self.all[end[i]][1]
+            weight[span] = max(weight.get(span, 0), *map(name_weight, names))
+        return sorted((a, 3, b) for (a, b), w in weight.items() if w and literal_score(self.literals[a, b][0], w, self.literals[a, b][1]) >= LEAST_SCORE)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of literals bound, directly or through constants, to sensitive names."""
-    bound: dict[str, tuple[int, int]] = {}
-    weight: dict[tuple[int, int], float] = {}
-
-    def bind(names: list[str], span: tuple[int, int]) -> float:
-        weight[span] = max(weight.get(span, 0), w := max(map(name_weight, names)))
-        bound.update(dict.fromkeys(names, span))
-        return w
-
-    at = 0
+    """(start, kind, end) of literals bound, directly or through constants, to sensitive names; of joined strings, from the first to the last."""
+    found, at = Bindings(), 0
     while m := HEAD.search(text, at):
         names, at = [m["name"]], m.end()
         while (t := TYPED.match(text, at)) and (text[t.end("type")] != "=" or text[t.end() : t.end() + 1] in ('"', "'")):
@@ -97,19 +139,23 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
         if chain := CHAIN.match(text, at):
             names += chain[0].split("=")[:-1]
             at = chain.end()
-        if q := QUOTED.match(text, at):
-            bind(names, q.span("triple" if q["t"] else "quoted"))
+        if q := STRING.match(text, at):
+            parts = [q.span("triple" if q["t"] else "quoted")]
             at = q.end()
+            while (j := JOIN.match(text, at)) and (q := STRING.match(text, j.end())):
+                parts.append(q.span("triple" if q["t"] else "quoted"))
+                at = q.end()
+            found.add(names, (parts[0][0], parts[-1][1]), "".join(text[a:b] for a, b in parts), True, False)
         elif b := BARE.match(text, at):
             name = NAME.match(b[0])
             if name and OPERATOR.match(text, b.end()):
                 continue  # itself a name with a literal
-            w = bind(names, bound[b[0]] if name and b[0] in bound else b.span())  # a name may stand for a literal seen before
+            w = found.add(names, b.span(), b[0], False, bool(name))
             while not w and (inner := INNER.match(text, at, b.end())) and inner.end() < b.end():
                 at = inner.end()
-                w = bind([inner[1]], (at, b.end()))
+                w = found.add([inner[1]], (at, b.end()), text[at : b.end()], False, False)
             at = b.end()
-    return sorted((a, 3, b) for (a, b), w in weight.items() if w and literal_score(text[a:b], w) >= LEAST_SCORE)
+    return found.spans()
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

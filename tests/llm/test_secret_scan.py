@@ -100,7 +100,80 @@ def test_no_bounds_on_pairs(text, found):
     assert literals(text) == found
 
 
-@pytest.mark.parametrize("text", ["key=" * 250_000, "a: b[" * 200_000, "k = " * 250_000, "a" * 1_000_000, "k" + " " * 1_000_000, "k='" * 300_000, 'k="""' * 160_000, "a: b | " * 140_000, "key: a" + ".b" * 500_000])
+K = "Zx81kq0Lmn2"
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("db_pwd = 'Zx81\"kq0Lmn2'", ['Zx81"kq0Lmn2']),
+        ("db_pwd = 'Zx81kq0\\'Lmn2abc'", ["Zx81kq0\\'Lmn2abc"]),
+        ("db_pwd = 'Zx81kq0' + 'Lmn2abcd'", ["Zx81kq0' + 'Lmn2abcd"]),
+        ('db_pwd = "Zx81kq0" . "Lmn2abcd";', ['Zx81kq0" . "Lmn2abcd']),
+        ("db_pwd = ('x')", []),
+        ("db_pwd = 'Zx81' \\\n  'kq0Lmn2'", ["Zx81' \\\n  'kq0Lmn2"]),
+        (f"db_pwd = r'{K}'", [K]),
+        (f"cfg['db_pwd'] = '{K}'", [K]),
+        (f'cfg["db_pwd"]="{K}"', [K]),
+        (f"define('DB_PWD', '{K}');", [K]),
+        (f'os.putenv("DB_PWD", "{K}")', [K]),
+        (f"put('colour', '{K}')", []),
+        (f"auth_header = LATER\nLATER = '{K}'", [K]),
+        (f"signing_key: A\nA = B\nB = '{K}'", [K]),
+        (f"A = '{K}'\nx = A\nA = 'plain'\nauth_token = A", []),
+        ("A = B\nB = A\ndb_pwd = A", []),
+        ("passphrase = 'correct-horse-battery-staple'", ["correct-horse-battery-staple"]),
+        ("passphrase = 'correct horse battery staple'", []),
+        ("passphrase = correct-horse-battery-staple", []),
+        (f"don't set db_pwd='{K}' here, it's bad", [K]),
+        (f"<db_pwd>{K}</db_pwd>", [K]),
+        ('db_pwd = """' + K, []),
+    ],
+)
+def test_syntax(text, found):
+    assert literals(text) == found
+
+
+def plain_literals(text):
+    """A character-by-character reading of ``name = 'string'`` lines with references, the way the lexer is meant to see them."""
+    pairs = []
+    for line in text.split("\n"):
+        name, _, value = (x.strip() for x in line.partition("="))
+        if value[:1] in ("'", '"'):
+            out, i = [], 1
+            while i < len(value) and value[i] != value[0]:
+                i += 2 if value[i] == "\\" else 1
+            pairs.append((name, value[1:i], None))
+        else:
+            pairs.append((name, None, value))
+    out = {}
+    for i, (name, value, ref) in enumerate(pairs):
+        seen, at = set(), i
+        while pairs[at][2] is not None and at not in seen:
+            seen.add(at)
+            earlier = [j for j in range(at) if pairs[j][0] == pairs[at][2]]
+            later = [j for j in range(at, len(pairs)) if pairs[j][0] == pairs[at][2]]
+            if not earlier + later:
+                break
+            at = (earlier[-1:] or later[:1])[0]
+        literal = pairs[at][1]
+        if literal is not None:
+            out[at] = max(out.get(at, 0), S.name_weight(name))
+    return [pairs[at][1] for at, w in sorted(out.items()) if w and S.literal_score(pairs[at][1], w) >= S.LEAST_SCORE]
+
+
+VALUES = st.sampled_from(["'Zx81kq0Lmn2'", '"Zx8\'1kq0Lmn2"', "'Zx8\\'1kq0Lmn2'", "'changeme'", "A", "B", "other"])
+LINES = st.lists(st.tuples(st.sampled_from(["A", "B", "db_pwd", "colour", "auth_token"]), VALUES), min_size=1, max_size=7)
+
+
+@given(LINES)
+@settings(max_examples=400, deadline=None)
+def test_bindings_against_a_plain_reading(lines):
+    text = "\n".join(f"{n} = {v}" for n, v in lines)
+    assert [x for x in literals(text)] == plain_literals(text)
+
+
+@pytest.mark.parametrize("text", ["key=" * 250_000, "k='\\" * 250_000, "k='a' + " * 120_000, "k['a']=" * 150_000, "A=B\nB=A\n" * 100_000, "('k', " * 150_000, 'k=r"' * 250_000, "a: b[" * 200_000, "k = " * 250_000, "a" * 1_000_000, "k" + " " * 1_000_000, "k='" * 300_000, 'k="""' * 160_000, "a: b | " * 140_000, "key: a" + ".b" * 500_000])
 def test_long_texts_take_linear_time(text):
     from time import process_time
 
