@@ -4,9 +4,9 @@ A pseudo-rotation is three rounds of random signs and a fast Hadamard transform;
 nearest to its rotation.  Each of ``TABLES`` tables lists all vectors by bucket; a query looks into the ``PROBES`` nearest
 axes of each table and ranks what it finds by exact distance on the original vectors.
 
-Vectors and queries meet in groups of one bucket; a bucket of more than ``BLOCK`` vectors is dealt into blocks, each
-of which the query visits, so that no group grows with the data.  Queries that find fewer than the wanted number are
-compared with all vectors, in blocks.
+Vectors and queries meet in groups of one bucket; a bucket of more than ``BLOCK`` vectors or ``QUERIES`` queries is dealt into blocks of either, each
+pair of which is a group, so that no group grows with the data.  Queries that find fewer than the wanted number are
+compared with all vectors of their length, in blocks.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from .common import settle, table
 
 #: Measured recall of the ten nearest: see README. 64-dimensional vectors without clusters need this many.
 TABLES, PROBES = 20, 4
-BLOCK = 4096
+BLOCK, QUERIES = 4096, 4096
 #: Queries that are compared with a block at a time.
-QUERIES = 512
+ROWS = 512
 SEED = 17
+#: Buckets up to which their counts are broadcast: 2 * TABLES * dimension for each length of vectors.
+BROADCAST_BUCKETS = 200_000
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -71,24 +73,26 @@ def matrix(column) -> np.ndarray:
 
 
 def with_buckets(vectors: DataFrame, probes: int) -> DataFrame:
-    """vec_id, embedding, bucket: a row for each bucket of each vector."""
+    """vec_id, embedding, size, bucket: a row for each bucket of each vector; vectors of different sizes have buckets of their own."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                got = buckets(matrix(batch.column("embedding")), probes)
+            sizes = batch.column("size").to_numpy()
+            for n in np.unique(sizes):
+                some = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                got = buckets(matrix(some.column("embedding")), probes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1]), pa.int32()), pa.array(got.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], names=["vec_id", "embedding", "buckets"])
+                yield pa.RecordBatch.from_arrays([*some.select(["vec_id", "embedding", "size"]).columns, lists], names=["vec_id", "embedding", "size", "buckets"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    found = vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, buckets array<int>")
-    return found.select("vec_id", "embedding", F.explode("buckets").alias("bucket"))
+    found = vectors.select("vec_id", "embedding", "size").mapInArrow(run, f"vec_id long, embedding {kind}, size int, buckets array<int>")
+    return found.select("vec_id", "embedding", "size", F.explode("buckets").alias("bucket"))
 
 
 def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k nearest of each query within each group (bucket, block); rows with one vec_id count once, at their smallest distance."""
+    """query_id, vec_id, score: the k nearest of each query within each group (size, bucket, block, part); rows with one vec_id count once, at their smallest distance."""
 
     def run(left, right):
         import pyarrow as pa
@@ -102,11 +106,11 @@ def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             squares = (x * x).sum(axis=1)
             first = np.flatnonzero(np.r_[True, x_ids[1:] != x_ids[:-1]])  # where each vec_id starts
             n = min(k, len(first))
-            for a in range(0, len(q), QUERIES):
-                part = q[a : a + QUERIES]
+            for a in range(0, len(q), ROWS):
+                part = q[a : a + ROWS]
                 near = squares - 2 * (part @ x.T)  # less the query's own square
                 slack = 1e-9 * (squares.max() + (part * part).sum(axis=1))
-                near[q_ids[a : a + QUERIES, None] == x_ids] = np.inf
+                near[q_ids[a : a + ROWS, None] == x_ids] = np.inf
                 each = near if len(first) == len(x) else np.minimum.reduceat(near, first, axis=1)
                 most = np.partition(each, n - 1, axis=1)[:, n - 1]
                 for i, (row, limit) in enumerate(zip(near, most + slack)):
@@ -120,16 +124,21 @@ def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         ints = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out[:2]]
         return pa.table([pa.array(ints[0], pa.int64()), pa.array(ints[1], pa.int64()), pa.array(np.concatenate(out[2]) if out[2] else np.empty(0), pa.float64())], names=["query_id", "vec_id", "score"])
 
-    keys = ["bucket", "block"]
+    keys = [c for c in ("size", "bucket", "block", "part") if c in queries.columns]
     return queries.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _blocks(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the block: a vector is in one block of its bucket, a query visits all."""
-    counts = settle(vectors.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket-blocks")
-    counts = F.broadcast(counts)  # a row for each bucket: at most TABLES * 2 * dimension
-    vectors = vectors.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    queries = queries.join(counts, "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    """Both sides with block and part: a vector is in one block of its bucket and in all parts, a query in one part and in all blocks."""
+    keys = ["size", "bucket"]
+    blocks = vectors.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = queries.groupBy(*keys).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    counts = settle(blocks.join(parts, keys), "bucket-blocks")  # of buckets that have both
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_BUCKETS else counts
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vectors = vectors.join(counts, keys).withColumn("block", dealt("blocks")).withColumn("part", every("parts")).drop("blocks", "parts")
+    queries = queries.join(counts, keys).withColumn("part", dealt("parts")).withColumn("block", every("blocks")).drop("blocks", "parts")
     return queries, vectors
 
 
@@ -147,13 +156,12 @@ def valid(embedding: Column) -> Column:
 def search(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by Euclidean distance.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
-    without vec_id.  Rows with one vec_id count once, at their smallest distance, and never for a query of that vec_id.  Ties go to the
-    smaller vec_id.  A table of fewer rows gives all of them; an empty one gives no rows.
+    Vectors that are null, zero or empty, or hold null or non-finite components take no part, nor do rows without vec_id.  Vectors of different lengths have
+    no distance: a query finds those of its own length.  Rows with one vec_id count once, at their smallest distance, and never for a query
+    of that vec_id.  Ties go to the smaller vec_id.  A table of fewer rows gives all of them; an empty one gives no rows.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("embedding") == (length.n if length else 0))
+    rows = rows.withColumn("size", F.size("embedding"))
     queries = rows.where(is_query)
     found = settle(_best(nearest_within(*_blocks(with_buckets(queries, PROBES), with_buckets(rows, 1)), k), k), "neighbours")
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))

@@ -10,7 +10,7 @@ and filter are multiplied out into one table for each pair of neighbouring bytes
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import plain_names, slices, table
@@ -18,8 +18,8 @@ from .common import plain_names, slices, table
 WIDTH, STEP, FILTERS, EMBED = 12, 2, 16, 8
 #: Bound of the training sample: labelled rows (those with the smallest hash of their doc_id).
 SAMPLE_ROWS = 3000
-#: Bound of a labelled text in training: so many bytes of its beginning at most, 48 MB of texts in all. Scores are of whole texts.
-SAMPLE_CHARS = 16_000
+#: Bounds of the sample in bytes: a longer text is not trained on (but scored whole, like any other), and the first rows that fit are.
+SAMPLE_TEXT, SAMPLE_BYTES = 64 << 10, 32 << 20
 STEPS, BATCH, RATE, DECAY = 700, 48, 0.01, 1e-4
 #: How far back a repetition may start, bytes that must agree, the symbol for it, and the gap between texts laid out together.
 BACK, AGREE, REPEAT, GAP = 32, 8, 1, 48
@@ -162,13 +162,16 @@ def held_out():
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ByteCnn:
-    """A network fitted to at most ``rows`` labelled documents that are not held out, of each at most SAMPLE_CHARS bytes."""
+    """A network fitted to at most ``rows`` labelled documents that are not held out, within the bounds of the sample in bytes."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.max(F.left("text", F.lit(SAMPLE_CHARS))).alias("text")).collect()
+    texts = docs.where(F.octet_length(F.col("text").cast("string")).isNull() | (F.octet_length(F.col("text").cast("string")) <= SAMPLE_TEXT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    sample = sample.withColumn("size", F.octet_length("text")).where(F.col("size") <= SAMPLE_TEXT)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of ``rows`` rows at most
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "quality", "text").collect()
     sample.sort(key=lambda r: r.doc_id)
-    return ByteCnn().fit([r.text.encode()[:SAMPLE_CHARS] for r in sample], [r.quality for r in sample])
+    return ByteCnn().fit([r.text.encode() for r in sample], [r.quality for r in sample])
 
 
 def score(docs: DataFrame, model: ByteCnn) -> DataFrame:

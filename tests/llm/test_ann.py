@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,38 @@ def test_smallest_distance_of_a_vec_id(spark):
     rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [2.0, 0.0]), (2, [4.0, 0.0]), (1, [2.0, 0.0])] + [(3, [1.5, 0.0])] * 11
     got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert sorted((g.rank, g.vec_id, g.score) for g in got) == [(1, 3, 0.5), (2, 1, 1.0), (3, 2, 3.0)]
+
+
+def test_lengths_are_searched_apart(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 20)
+    monkeypatch.setattr(A, "QUERIES", 7)
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=(8, 5, 1)[i % 3 if i % 10 else 0]).tolist()) for i in range(150)]
+    got = {}
+    for x in A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), A.F.col("vec_id") % 2 == 0, 5).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert set(got) == set(range(0, 150, 2))
+    same = 0
+    for q, found in got.items():
+        mine = dict(rows)[q]
+        all_ = sorted((float(np.linalg.norm(np.array(v) - np.array(mine))), i) for i, v in rows if i != q and len(v) == len(mine))
+        assert [n for n, _, _ in sorted(found)] == list(range(1, 6)) and {i for _, i, _ in found} <= {i for _, i in all_}
+        same += len({i for _, i, _ in found} & {i for _, i in all_[:5]})
+    assert same >= 0.9 * 5 * len(got)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no test data")
+def test_recall_on_the_table(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    vectors, ids = np.array(t["embedding"].to_pylist()), t["vec_id"].to_numpy()
+    found = {}
+    for x in A.op10_neighbours(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = 0
+    for q, near in found.items():
+        d = np.linalg.norm(vectors - vectors[ids == q][0], axis=1)
+        d[ids == q] = np.inf
+        hits += len(near & set(ids[np.argsort(d)[:10]].tolist()))
+    assert len(found) == (ids % 100 == 0).sum() and hits >= 0.9 * 10 * len(found)
