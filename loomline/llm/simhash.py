@@ -18,8 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_names, settle, slices, table
+from .common import settle, slices, table
 from .components import component_roots
+from .similar import keep_one  # noqa: F401  documents at a similarity beyond the reach of fingerprints
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 DENSE = 64
@@ -48,18 +49,18 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fingerprint and the columns ``more`` (longs) of every row; one pass, no shuffle."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of every row; one pass, no shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             got = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64()), *map(batch.column, more)], names=["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return rows.mapInArrow(run, ", ".join([SCHEMA, *(f"{c} long" for c in more)]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -83,9 +84,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def grouped(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fp, the columns ``more``, root (a fingerprint that names the component) and component_id of every row."""
-    rows = settle(fingerprints(docs, *more), "fingerprints")
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and component_id of every row."""
+    rows = settle(fingerprints(docs), "fingerprints")
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     roots = component_roots(links(nodes))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -103,22 +104,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that of the smallest doc_id, rows without one last, then of the smallest hash of its text.
-
-    A row is known by its doc_id and that hash together, so repeated and missing doc_ids keep one row of their group like any other.
-    """
-    docs, back = plain_names(docs, "doc_id", "text")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    found = settle(grouped(keyed, "__key").select("doc_id", "__key", "root"), "near-duplicates")
-    repeated = found.groupBy("doc_id", "__key").count().where("count > 1").limit(1).count()
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))).alias("k"))
-    kept = kept.select(F.col("k.id").alias("__kept"), F.col("k.key").alias("__kept_key"))
-    # Documents are shuffled to their ids at every size: the list of ids grows with them, so it is not for broadcasting.
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__kept_key"))
-    out = keyed.join(kept.hint("merge"), same, "left_semi").drop("__key")
-    return back(out.dropDuplicates(["doc_id", "text"]) if repeated else out)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
