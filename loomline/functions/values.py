@@ -89,3 +89,16 @@ def first_set(*columns: Column) -> Column:
 
 def percent_text(part: Column, whole: Column) -> Column:
     return F.format_string("%.2f%%", F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0)))
+
+
+def average_hash(pixels: Column) -> Column:
+    """Sixteen hexadecimal digits for the 64 grey values of an 8 x 8 picture: a bit is 1 where the value is at least the mean; empty if there are not 64."""
+    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
+    half = lambda first: F.aggregate(F.slice(pixels, first, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + (x >= mean).cast("long"))
+    return F.when(F.size(pixels) == 64, F.lower(F.concat(*(F.lpad(F.hex(half(f)), 8, "0") for f in (1, 33))))).otherwise("")
+
+
+def image_ids(content: Column) -> Column:
+    """(sha256, canonical_image_id) of the bytes of a picture."""
+    digest = F.sha2(content, 256)
+    return F.struct(digest.alias("sha256"), F.concat(F.lit("sha256:"), digest).alias("canonical_image_id"))

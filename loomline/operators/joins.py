@@ -102,3 +102,27 @@ def first_violation(claims: DataFrame, limits: DataFrame, keys: list[str], value
     v, m, op = F.col(value), F.col(limit), F.col(operator)
     broken = ((op == ">=") & (v < m)) | ((op == "<=") & (v > m)) | ((op == "==") & (v != m))
     return one_per_key(claims.join(limits, keys).where(broken), per, *order)
+
+
+def perceptual_matches(new: DataFrame, known: DataFrame, distance: int, limit: int) -> DataFrame:
+    """id, match, distance: for each new picture (id, sha256, bits) the nearest known ones, ties to the smaller id.
+
+    Pictures of equal bits and equal sha256 are the same file and no match.  Values are compared once, not for every row that has them: pairs of bands
+    (two of distance + 2 are equal) name the pairs of values, and a value passes on only its first ``limit`` + 1 rows that may count.
+    """
+    n = distance + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    band = [F.shiftrightunsigned("bits", cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1).cast("long")) for i in range(n)]
+    keys = F.explode(F.array(*(F.struct(F.lit(i * n + j).alias("k"), (F.shiftleft(band[i], 32) + band[j]).alias("v")) for i in range(n) for j in range(i + 1, n))))
+    a = new.where("bits is not null").select("bits").distinct().withColumn("key", keys).alias("a")
+    b = known.where("bits is not null").select("bits").distinct().withColumn("key", keys).alias("b")
+    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("int")
+    values = a.join(b, (F.col("a.key") == F.col("b.key")) & (apart <= distance)).select(F.col("a.bits").alias("bits"), F.col("b.bits").alias("other"), apart.alias("distance")).distinct()
+    # of the rows of one file the first suffices, and of one value ``limit`` files besides the picture's own
+    files = known.groupBy(F.col("bits").alias("other"), F.col("sha256").alias("file")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    first = files.select("other", "file", F.explode(F.slice("ids", 1, limit)).alias("match"))
+    rank = F.row_number().over(Window.partitionBy("other", "file").orderBy("match"))
+    first = first.withColumn("n", rank).where(F.col("n") <= limit).drop("n")
+    pairs = new.where("bits is not null").join(values, "bits").join(first, "other").where((F.col("distance") > 0) | ~F.col("file").eqNullSafe(F.col("sha256")))
+    best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "match"))
+    return pairs.select("id", "match", "distance").withColumn("n", best).where(F.col("n") <= limit).drop("n")

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions as D
 from ..functions import parse
-from ..operators import joins
-from ..registry import query
+from ..functions import values as V
+from ..operators import joins, outline
+from ..registry import SQL, query
 from ..sources.tables import table
 
 
@@ -211,3 +212,59 @@ def parameter_conflicts(spark, d):
     claims = claims.select("l_orderkey", "l_linenumber", "p_partkey", F.explode(parse.parameter_claims("t")).alias("c")).select("l_orderkey", "l_linenumber", "p_partkey", "c.category", "c.unit", F.col("c.value").alias("claimed"), F.col("c.start").alias("start"))
     found = joins.first_violation(claims, limits, ["p_partkey", "category", "unit"], "claimed", "operator", "required", ["l_orderkey", "l_linenumber", "p_partkey", "category", "operator", "required"], F.col("start"), F.col("claimed"))
     return found.select("l_orderkey", "l_linenumber", "category", "operator", "required", "claimed")
+
+
+_children = lambda words: f"{_list(words)}"
+_asked = "list_filter([" + ", ".join(f"CASE WHEN contains(r, '{k}') THEN '{v}' END" for k, v in outline.RULE_CHILDREN.items()) + "], lambda x: x IS NOT NULL)"
+_fixed = "CASE category " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in outline.CHILDREN.items()) + f" ELSE {_list(outline.UNKNOWN_CHILDREN)} END"
+RULES = _pick([*outline.RULE_CHILDREN, "其它", "总承包", "建筑设计质量 BIM 安全"], "p_partkey * 5 + 2")
+CLASSES = SQL["score_point_classes"].replace(RULED[0], RULES[0])
+
+
+@query(f"""
+WITH c AS ({CLASSES}), p AS (SELECT p_partkey, {TITLED[0]} AS title, {RULES[0]} AS r, p_size FROM part),
+x AS (SELECT c.*, title, {_asked} AS asked, CASE WHEN p_size % 3 = 0 THEN ['模板甲', '模板乙'] ELSE [] END AS template FROM c JOIN p USING (p_partkey)),
+b AS (SELECT *, CASE WHEN category IN ({', '.join(f"'{n}'" for n in outline.OWN_CHILDREN)}) THEN {_fixed} WHEN domain = 'design' THEN CASE WHEN len(asked) > 0 THEN asked[:7] ELSE {_list(outline.DESIGN_CHILDREN)} END
+ WHEN domain = 'management' THEN CASE WHEN len(asked) > 0 THEN asked[:6] ELSE {_list(outline.MANAGEMENT_CHILDREN)} END WHEN len(template) > 0 THEN template WHEN len(asked) > 0 THEN asked[:6] ELSE {_fixed} END AS titles,
+ NOT (category IN ({', '.join(f"'{n}'" for n in outline.OWN_CHILDREN)}) OR domain IN ('design', 'management')) AND len(template) > 0 AS templated FROM x)
+SELECT p_partkey::VARCHAR AS number, 1 AS level, title, domain, category, needs_review OR NOT templated AS review FROM b
+UNION ALL SELECT p_partkey || '.' || n, 2, titles[n], domain, category, NOT templated FROM (SELECT *, unnest(range(1, len(titles) + 1)) AS n FROM b)""")
+def outline_nodes(spark, d):
+    points = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), TITLED[1]().alias("title"), RULES[1]().alias("rule"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("模板甲"), F.lit("模板乙"))).alias("template"))
+    return outline.outline_tree(points, F.when(F.col("pos") % 3 == 0, "epc").otherwise("construction")).drop("source")
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, 'a' || (o_orderkey % 97) AS top, 'b' || (o_orderkey % 311) AS parent, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'c' || o_custkey END AS target, o_orderkey % 4 = 0 AS sub, o_orderkey % 3 AS headings FROM orders)
+SELECT (count(DISTINCT top) + count(DISTINCT CASE WHEN sub THEN parent WHEN target <> '' THEN target END) + count(DISTINCT CASE WHEN sub AND target <> '' THEN target END) + sum(CASE WHEN NOT sub AND target <> '' THEN headings ELSE 0 END))::BIGINT AS expected FROM k""")
+def expected_headings(spark, d):
+    k = F.col("o_orderkey")
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    packages = table(spark, d, "orders").select(
+        name("a", k % 97).alias("top"), name("b", k % 311).alias("parent"), F.when(k % 10 == 0, "").otherwise(name("c", F.col("o_custkey"))).alias("target"),
+        F.when(k % 4 == 0, "level3_subsection_unit").otherwise("level2_section_group").alias("unit_type"), F.concat(F.array_repeat(F.lit("h"), (k % 3).cast("int")), F.array(F.lit(" "))).alias("headings"),
+    )
+    return outline.heading_count(packages)
+
+
+@query("""
+WITH g AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: (128 + x * 400)::INT) AS p FROM embeddings), m AS (SELECT *, list_avg(p) AS a FROM g)
+SELECT vec_id, lower(printf('%08x', list_sum(list_transform(range(1, 33), lambda i: CASE WHEN p[i] >= a THEN (1::BIGINT << (32 - i)::INT) ELSE 0 END))::BIGINT) || printf('%08x', list_sum(list_transform(range(33, 65), lambda i: CASE WHEN p[i] >= a THEN (1::BIGINT << (64 - i)::INT) ELSE 0 END))::BIGINT)) AS hash FROM m""")
+def average_hashes(spark, d):
+    """Grey values taken from embeddings."""
+    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.rint(128 + x * 400).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", V.average_hash(grey).alias("hash"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (9223372036854775808::HUGEINT >> (i - 1)::INT) ELSE 0::HUGEINT END)) AS h FROM embeddings),
+n AS (SELECT vec_id AS id, md5((vec_id // 3)::VARCHAR) AS sha, xor(h, ((1::HUGEINT << (vec_id % 4)::INT) - 1)) AS h FROM e WHERE vec_id % 2 = 0), k AS (SELECT vec_id AS id, md5((vec_id // 3)::VARCHAR) AS sha, h FROM e UNION ALL SELECT vec_id + 1000000, md5((vec_id // 3)::VARCHAR || 'x'), h FROM e WHERE vec_id % 5 = 0),
+p AS (SELECT n.id, k.id AS match, bit_count(xor(n.h, k.h))::INT AS distance FROM n JOIN k ON bit_count(xor(n.h, k.h)) <= 4 AND NOT (n.h = k.h AND n.sha = k.sha))
+SELECT id, match, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS r FROM p) WHERE r <= 3""")
+def perceptual_matches(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", V.sign_bits(F.col("embedding")).alias("h"), F.md5(F.floor(F.col("vec_id") / 3).cast("string")).alias("sha256"))
+    flips = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("vec_id") % 4).cast("int")) - 1
+    new = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "sha256", F.col("h").bitwiseXOR(flips).alias("bits"))
+    more = e.where("vec_id % 5 = 0").select((F.col("vec_id") + 1000000).alias("id"), F.md5(F.concat(F.floor(F.col("vec_id") / 3).cast("string"), F.lit("x"))).alias("sha256"), F.col("h").alias("bits"))
+    known = e.select(F.col("vec_id").alias("id"), "sha256", F.col("h").alias("bits")).unionByName(more)
+    return joins.perceptual_matches(new, known, 4, 3)

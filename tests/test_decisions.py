@@ -1,10 +1,17 @@
 """Classifiers and the parameter guard on literal rows."""
 
+import hashlib
+import random
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import decisions as D
 from loomline.functions import parse
+from loomline.functions import values as V
+from loomline.operators import joins, outline
+from loomline.sources import documents
 
 
 def one(spark, column):
@@ -89,3 +96,48 @@ def test_states(spark):
     flags = one(spark, D.source_flags(F.lit(False), F.lit("failed"), F.lit(None).cast("int"), F.lit(2), F.lit("review_rule")))
     assert flags == ["待脱敏确认", "入库失败", "缺少章节切片", "2 条提示", "适合风险提示"]
     assert one(spark, D.state_flags(F.lit("parse_needs_review"), F.lit(0), F.array_repeat(F.lit("x"), 9)))[-1] == "review_item_5"
+
+
+def test_average_hash(spark):
+    pixels = list(range(64))
+    want = f"{int(''.join('1' if p >= sum(pixels) / 64 else '0' for p in pixels), 2):016x}"
+    assert one(spark, V.average_hash(F.array(*map(F.lit, pixels)))) == want
+    assert one(spark, V.average_hash(F.array_repeat(F.lit(7), 64))) == "f" * 16 and one(spark, V.average_hash(F.array_repeat(F.lit(7), 5))) == ""
+    digest = hashlib.sha256(b"abc").hexdigest()
+    assert tuple(one(spark, V.image_ids(F.lit(bytearray(b"abc"))))) == (digest, f"sha256:{digest}")
+
+
+def test_media(spark, tmp_path):
+    for name, parts in (("a.docx", {"word/media/image1.png": b"one", "word/document.xml": b"<x/>", "word/media/image2.png": b""}), ("b.docx", {"x": b"y"})):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, data in parts.items():
+                z.writestr(n, data)
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    got = sorted((r.path.rpartition("/")[2], r.part_name, bytes(r.content)) for r in documents.docx_media(spark, str(tmp_path)).collect())
+    assert got == [("a.docx", "word/media/image1.png", b"one"), ("a.docx", "word/media/image2.png", b"")]
+
+
+def test_perceptual_matches(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(63) for _ in range(6)]
+    known = [(i, r.choice("pq"), b ^ sum(1 << x for x in r.sample(range(63), r.randrange(6)))) for i, b in enumerate(base * 12)] + [(900, None, base[0]), (901, "p", None)]
+    new = [(i, r.choice("pqr"), b) for i, b in enumerate(base)] + [(50, None, base[0]), (51, "p", None)]
+    df = lambda rows: spark.createDataFrame(rows, "id int, sha256 string, bits long")
+    got = sorted((x.id, x.match, x.distance) for x in joins.perceptual_matches(df(new), df(known), 4, 5).collect())
+    want = []
+    for i, sha, bits in new:
+        if bits is not None:
+            near = sorted(((bits ^ b).bit_count(), k) for k, s, b in known if b is not None and (bits ^ b).bit_count() <= 4 and not (bits == b and s == sha))
+            want += [(i, k, n) for n, k in near[:5]]
+    assert got == sorted(want)
+
+
+def test_outline(spark):
+    points = [(1, "质量管理", "质量 安全", None), (2, "项目理解", "总承包", ["x"]), (3, "消防", "", ["甲", "乙"]), (4, "其它", None, None)]
+    rows = outline.outline_tree(spark.createDataFrame(points, "pos int, title string, rule string, template array<string>"), F.lit("construction")).collect()
+    got = {r.number: (r.level, r.title, r.source, r.review) for r in rows}
+    assert got["1"] == (1, "质量管理", "generated_from_requirement", True) and got["1.1"] == (2, "质量保证措施", "generated_from_requirement", True) and got["1.2"][1] == "安全保证措施"
+    assert got["2.1"] == (2, "项目概况理解", "generated", True) and got["3.2"] == (2, "乙", "excellent_bid_template", False) and got["3"][3] is False
+    assert [got[f"4.{i}"][1] for i in (1, 2, 3, 4)] == outline.UNKNOWN_CHILDREN
+    packages = [("a", "p", "t1", "level3_subsection_unit", ["h"]), ("a", None, "t2", "level2_section_group", ["h", " "]), ("", None, "", "x", ["h"])]
+    assert outline.heading_count(spark.createDataFrame(packages, "top string, parent string, target string, unit_type string, headings array<string>")).first()[0] == 1 + 2 + 1 + 1
