@@ -62,7 +62,7 @@ def test_gradients_equal_differences():
 
 
 def test_training_is_bounded_by_bytes(spark):
-    docs = [(i, ("good words " if i % 2 else "%%% ### ") * 3000) for i in range(40)] + [(100 + i, "good words " * 40_000) for i in range(9)]
+    docs = [(i, ("good words " if i % 2 else "%%% ### ") * 200) for i in range(40)] + [(100 + i, "good words " * 40_000) for i in range(9)]
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     net = Q.train(docs, labels)
