@@ -163,6 +163,11 @@ def _first(choices: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda variable is not inlined again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def assistant_intent(message: Column) -> Column:
     """(intent, confidence) of a question: fallback with 0 for a blank one and where no rule holds."""
     c = asked(message)
@@ -187,20 +192,25 @@ def score_category(c: Column) -> Column:
 def score_point_class(title: Column, rule: Column, project_type: Column) -> Column:
     """(domain, category, confidence, needs_review) of a score point; its title goes before its rule."""
     title, rule = X.blank(title), X.blank(rule)
-    own, ruled = score_category(title), score_category(rule)
-    manages = any_of(title, MANAGEMENT) | F.coalesce(own == UNDERSTANDING, F.lit(False))
-    cases = [
-        (any_of(title, DESIGN), "design", 0.86), (manages, "management", 0.78), (own.isNull() & any_of(rule, DESIGN), "design", 0.78),
-        ((project_type == "epc") & any_of(rule, MANAGEMENT), "management", 0.78), (any_of(rule, MANAGEMENT), "management", 0.72),
-    ]
     pair = lambda d, n: F.struct(F.lit(d).alias("domain"), F.lit(n).alias("confidence"))
-    found = _first([(F.coalesce(hit, F.lit(False)), pair(d, n)) for hit, d, n in cases], pair("construction", 0.82))
-    domain = found["domain"]
-    category = F.coalesce(own, ruled, F.when(domain == "design", "设计方案").when(domain == "management", "综合管理"), F.lit("unknown"))
-    confidence = F.when(category == "unknown", F.least(found["confidence"], F.lit(0.68))).otherwise(found["confidence"])
-    review = (domain == "design") | (category == "unknown") | (confidence < 0.75)
     out = lambda a, b, c, d: F.struct(a.alias("domain"), b.alias("category"), c.alias("confidence"), d.alias("needs_review"))
-    return F.when(own == COMPLETENESS, out(F.lit("general"), F.lit(COMPLETENESS), F.lit(0.9), F.lit(False))).otherwise(out(domain, category, confidence, review))
+
+    def found(c: Column) -> Column:
+        manages = any_of(title, MANAGEMENT) | F.coalesce(c["own"] == UNDERSTANDING, F.lit(False))
+        cases = [
+            (any_of(title, DESIGN), "design", 0.86), (manages, "management", 0.78), (c["own"].isNull() & any_of(rule, DESIGN), "design", 0.78),
+            ((project_type == "epc") & any_of(rule, MANAGEMENT), "management", 0.78), (any_of(rule, MANAGEMENT), "management", 0.72),
+        ]
+        return _bound(_first([(F.coalesce(hit, F.lit(False)), pair(d, n)) for hit, d, n in cases], pair("construction", 0.82)), lambda f: graded(c, f))
+
+    def graded(c: Column, f: Column) -> Column:
+        domain = f["domain"]
+        category = F.coalesce(c["own"], c["ruled"], F.when(domain == "design", "设计方案").when(domain == "management", "综合管理"), F.lit("unknown"))
+        confidence = F.when(category == "unknown", F.least(f["confidence"], F.lit(0.68))).otherwise(f["confidence"])
+        review = (domain == "design") | (category == "unknown") | (confidence < 0.75)
+        return F.when(c["own"] == COMPLETENESS, out(F.lit("general"), F.lit(COMPLETENESS), F.lit(0.9), F.lit(False))).otherwise(out(domain, category, confidence, review))
+
+    return _bound(F.struct(score_category(title).alias("own"), score_category(rule).alias("ruled")), found)
 
 
 def states_facts(c: Column) -> Column:
