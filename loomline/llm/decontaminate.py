@@ -16,7 +16,8 @@ from .common import let, plain_names, settle, table
 
 #: Words of a window, and words hashed together; WINDOW - GRAM + 1 hashes make a fingerprint.
 WINDOW, GRAM = 10, 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once lowered. Splitting there takes a quarter of the time of extracting the words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which fingerprints (8 bytes) or hits (tens of bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 250_000
@@ -29,7 +30,7 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
 def window_texts(words: Column, length: int) -> Column:
@@ -132,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = F.sort_array(F.collect_set(F.coalesce("item", F.lit(""))))
     hit = matches(docs, items).groupBy("row").agg(F.size(spans).alias("n_hit"), names.alias("names"))
     hit = settle(hit.select("row", "n_hit", F.size("names").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256")), "contaminated")
-    every = _rows(docs).select("row", "doc_id", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
+    every = _rows(docs).select("row", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     every = every.join(hit, "row", "left")
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     return every.select(
