@@ -4,7 +4,7 @@ A text is hashed as overlapping 5-grams of words; of every six neighbouring hash
 share ten words in a row share the fingerprint of that window, so joining fingerprints finds every shared window.  Each hit
 names up to six places where a shared window may begin; the words there are compared with the windows of the items, and
 what matches is extended to the words it covers.  Items of fewer than ten words are one window each; for each such length that
-occurs, hashes of that many words are taken at every place (a window of one hash).
+occurs, hashes of that many words are taken at every place (a window of one hash).  All lengths share one pass over the texts.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ WINDOW, GRAM = 10, 5
 #: What stands between words, once lowered. Splitting there takes a quarter of the time of extracting the words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which fingerprints (8 bytes) or hits (tens of bytes each) are broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 250_000
+#: Rows and bytes, both counted, up to which fingerprints, windows or hits are broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 32 << 20
 
 
 def lowered(text: Column) -> Column:
@@ -43,13 +43,22 @@ def window_texts(words: Column, length: int) -> Column:
     return let(words, of)
 
 
-def fingerprints(words: Column, length: int) -> Column:
-    """Array of (start, value): the fingerprint of the windows that begin at ``start`` or up to WINDOW - GRAM places later.
+def span_of(length: int) -> int:
+    """Hashes of a window of ``length`` words."""
+    return length - GRAM + 1 if length == WINDOW else 1
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def fingerprints(hashed: Column, length: int) -> Column:
+    """Array of (length, start, value) for hashed words: the fingerprint of the windows that begin at ``start`` or up to WINDOW - GRAM places later.
 
     Neighbouring windows with one value are named once; in a longer run of one value every later window is named.
     """
-    gram = min(length, GRAM) if length == WINDOW else length
-    span = length - gram + 1
+    span = span_of(length)
+    gram = length - span + 1
 
     def places(n: Column, of: int) -> Column:
         return F.when(n >= of, F.sequence(F.lit(0), n - of)).otherwise(F.array().cast("array<int>"))
@@ -59,19 +68,23 @@ def fingerprints(words: Column, length: int) -> Column:
             return g
         return F.transform(places(F.size(g), span), lambda i: F.least(*(F.get(g, i + j) for j in range(span))))
 
+    def entry(v: Column, i: Column) -> Column:
+        return F.struct(F.lit(length).alias("length"), i.alias("start"), v.alias("value"))
+
     def named(m: Column) -> Column:
         if span == 1:
-            return F.transform(m, lambda v, i: F.struct(i.alias("start"), v.alias("value")))
+            return F.transform(m, entry)
         first = lambda v, i: (i == 0) | (v != F.get(m, i - 1)) | F.coalesce(v == F.get(m, i - span), F.lit(False))
-        return F.transform(m, lambda v, i: F.when(first(v, i), F.struct(i.alias("start"), v.alias("value"))))
+        return F.transform(m, lambda v, i: F.when(first(v, i), entry(v, i)))
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
     grams = lambda h: F.transform(places(F.size(h), gram), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(gram))))
-    return let(hashed, lambda h: let(grams(h), lambda g: let(least(g), named)))
+    return let(grams(hashed), lambda g: let(least(g), named))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, a settled table, marked for broadcast if its rows and their bytes are few."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -97,30 +110,32 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """row, doc_id, start, length, item of every window of an item that occurs in a document."""
     rows = _rows(docs)
     windows = settle(item_windows(items), "item-windows")
-    n_windows = windows.count()
-    lengths = [r.length for r in windows.select("length").distinct().collect()]  # ten at most
-    found = []
-    for length in sorted(lengths):
-        span = length - GRAM + 1 if length == WINDOW else 1
-        wanted = windows.where(F.col("length") == length).select(F.split("words", " ").alias("w"))
-        wanted = settle(wanted.select(F.explode(fingerprints(F.col("w"), length)).alias("f")).select("f.value").distinct(), "item-fingerprints")
-        ours = rows.select("row", F.explode(fingerprints(words_of(F.col("text")), length)).alias("f")).where("f is not null").select("row", "f.start", "f.value")
-        hits = ours.join(_small(wanted, wanted.count()), "value").groupBy("row").agg(F.collect_set("start").alias("starts"))
-        hits = settle(hits, "hits")
-        n_hits = hits.agg(F.sum(F.size("starts"))).first()[0] or 0
-        begins = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (span - 1)))))
-        near = rows.join(_small(hits, n_hits), "row").select("row", "doc_id", words_of(F.col("text")).alias("w"), begins.alias("begins"))
-        begin = lambda w: F.filter("begins", lambda s: s + length <= F.size(w))
-        texts = let(F.col("w"), lambda w: F.transform(begin(w), lambda s: F.struct(s.alias("start"), F.array_join(F.slice(w, s + 1, F.lit(length)), " ").alias("words"))))
-        near = near.select("row", "doc_id", F.explode(texts).alias("x")).select("row", "doc_id", "x.start", "x.words")
-        known = windows.where(F.col("length") == length)
-        found.append(near.join(_small(known, n_windows), "words").select("row", "doc_id", "start", "length", "item"))
-    if not found:
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # ten at most
+    if not lengths:
         return rows.sparkSession.createDataFrame([], "row binary, doc_id long, start int, length int, item string")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def prints(words: Column, of: list[int]) -> Column:
+        return let(word_hashes(words), lambda h: F.flatten(F.array(*(fingerprints(h, n) for n in of))))
+
+    wanted = None
+    for n in lengths:
+        some = windows.where(F.col("length") == n).select(F.explode(prints(F.split("words", " "), [n])).alias("f")).select("f.length", "f.value")
+        wanted = some if wanted is None else wanted.unionByName(some)
+    wanted = settle(wanted.distinct(), "item-fingerprints")
+    ours = rows.select("row", F.explode(prints(words_of(F.col("text")), lengths)).alias("f")).where("f is not null").select("row", "f.*")
+    hits = ours.join(_small(wanted, F.lit(12)), ["length", "value"]).groupBy("row").agg(F.collect_set(F.struct("length", "start")).alias("starts"))
+    hits = settle(hits, "hits")
+    # a fingerprint stands for the windows that begin at its place or at one of the next
+    later = lambda s: F.when(s["length"] == WINDOW, span_of(WINDOW) - 1).otherwise(0)
+    windows_at = lambda s: F.transform(F.sequence(s["start"], s["start"] + later(s)), lambda i: F.struct(s["length"].alias("length"), i.alias("start")))
+    begins = F.array_distinct(F.flatten(F.transform("starts", windows_at)))
+    near = rows.join(_small(hits, F.size("starts") * 32 + 48), "row").select("row", "doc_id", words_of(F.col("text")).alias("w"), begins.alias("begins"))
+    whole = lambda w: F.filter("begins", lambda s: s["start"] + s["length"] <= F.size(w))
+    words_at = lambda w, s: F.array_join(F.slice(w, s["start"] + 1, s["length"]), " ")
+    texts = let(F.col("w"), lambda w: F.transform(whole(w), lambda s: F.struct(s["length"].alias("length"), s["start"].alias("start"), words_at(w, s).alias("words"))))
+    near = near.select("row", "doc_id", F.explode(texts).alias("x")).select("row", "doc_id", "x.*")
+    known = _small(windows, F.octet_length("words") + F.octet_length(F.coalesce("item", F.lit(""))) + 16)
+    return near.join(known, ["length", "words"]).select("row", "doc_id", "start", "length", "item")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -153,7 +168,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     named, back = plain_names(docs, "doc_id", "text")
     hit = settle(matches(docs, items).select(F.col("row").alias("__hit")).distinct(), "contaminated")
-    return back(named.join(_small(hit, hit.count()), row_key() == F.col("__hit"), "left_anti"))
+    return back(named.join(_small(hit, F.lit(16)), row_key() == F.col("__hit"), "left_anti"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
