@@ -92,9 +92,13 @@ def percent_text(part: Column, whole: Column) -> Column:
 
 
 def average_hash(pixels: Column) -> Column:
-    """Sixteen hexadecimal digits for the 64 grey values of an 8 x 8 picture: a bit is 1 where the value is at least the mean; empty if there are not 64."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
-    half = lambda first: F.aggregate(F.slice(pixels, first, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + (x >= mean).cast("long"))
+    """Sixteen hexadecimal digits for the 64 grey values of an 8 x 8 picture: a bit is 1 where the value is at least the mean; empty if there are not 64.
+
+    Null values have no share in the mean, and their bits are 0.
+    """
+    known = F.array_compact(pixels)
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+    half = lambda first: F.aggregate(F.slice(pixels, first, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + F.coalesce(x >= mean, F.lit(False)).cast("long"))
     return F.when(F.size(pixels) == 64, F.lower(F.concat(*(F.lpad(F.hex(half(f)), 8, "0") for f in (1, 33))))).otherwise("")
 
 
