@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs up to which scored pairs are formed where they could be avoided.
+FEW_PAIRS = 2_000_000
+
 
 def one_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row of each key in the given order, by a struct minimum (partial on the map side, no sort)."""
@@ -46,6 +49,74 @@ def best_match(pairs: DataFrame, left: str, right: str, score: str, *ties: Colum
     return ranked.where("__n = 1").select(left, right, score, F.col("__close").alias("candidates"), F.when(F.col("__close") > 1, "ambiguous").otherwise("matched").alias("status"))
 
 
+def nearness(x: Column, y: Column, scale: float, digits: int) -> Column:
+    """1 for equal numbers, less by 1 for a difference of ``scale``; halves of the last digit are rounded away from zero in binary."""
+    return F.round((1 - F.abs(x - y) / scale) * 10.0**digits) / 10.0**digits
+
+
+def nearest_match(left: DataFrame, right: DataFrame, scale: float, digits: int, least: float, delta: float) -> DataFrame:
+    """``best_match`` of the pairs of left (a, k, x) and right (b, k, y) rows of one key ``k``, scored by ``nearness`` of x and y, ties to the smaller b, without forming the pairs.
+
+    The score falls with the distance on either side of x.  Right rows collapse to different numbers, these to cells as wide as the last digit of the
+    score, and cells to nodes of 2, 4, 8, ... cells.  The nodes beside a cell, one of each size on either side, hold the nearest numbers outside it; the rows that are close to
+    the best are those of some nodes and of a few cells at the ends, whose numbers are scored one by one.  All are equi joins on key and node, so that a key with many
+    rows is spread.  Keys with a number that is not finite (or beyond 10 ** 12 cells) form their pairs, and so do tables with up to ``FEW_PAIRS`` of them.
+    """
+    step = scale / 10.0**digits
+    left, right = left.where("a is not null and k is not null and x is not null"), right.where("k is not null and y is not null")
+    regular = lambda c: F.abs(F.col(c)) < step * 1e12
+    by_pairs = lambda rows: best_match(rows.join(right, "k").select("a", "b", nearness(F.col("x"), F.col("y"), scale, digits).alias("score")), "a", "b", "score", F.col("b").asc_nulls_last(), least=least, delta=delta)
+    sizes = left.groupBy("k").agg(F.count("*").cast("double").alias("n")).join(right.groupBy("k").agg(F.count("*").alias("m")), "k")
+    if (sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0) <= FEW_PAIRS:
+        return by_pairs(left)
+    odd = left.where(~regular("x")).select("k").union(right.where(~regular("y")).select("k")).distinct()
+    odd_a = left.join(odd, "k", "left_semi").select("a").distinct()
+    rest = by_pairs(left.join(odd_a, "a", "left_semi"))
+
+    left = left.join(odd_a, "a", "left_anti")
+    cell = lambda c: F.floor(c / step).cast("long")
+    score = nearness(F.col("x"), F.col("y"), scale, digits)
+    levels = F.sequence(F.lit(0), F.lit((int(2 * (1 - least) * 10**digits) + 8).bit_length()))
+    up = lambda c, level: F.call_function("shiftright", c, level)
+    numbers = right.where(regular("y")).groupBy("k", "y").agg(F.count("*").alias("n"), F.min("b").alias("b")).withColumn("cell", cell(F.col("y")))
+    nodes = numbers.groupBy("k", "cell").agg(F.sum("n").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
+    nodes = nodes.withColumn("level", F.explode(levels)).groupBy("k", "level", up(F.col("cell"), F.col("level")).alias("node"))
+    nodes = nodes.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    # the best score of every different x
+    values = left.select("k", "x").distinct().withColumn("cell", cell(F.col("x")))
+    beside = values.select("k", "cell").distinct().withColumn("level", F.explode(levels)).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    beside = beside.withColumn("node", up(F.col("cell"), F.col("level")) + F.col("side")).join(nodes, ["k", "level", "node"])
+    beside = beside.groupBy("k", "cell").agg(F.max(F.when(F.col("side") < 0, F.col("high"))).alias("before"), F.min(F.when(F.col("side") > 0, F.col("low"))).alias("behind"))
+    near = values.join(beside, ["k", "cell"]).select("k", "x", F.explode(F.array("before", "behind")).alias("y")).unionByName(values.join(numbers, ["k", "cell"]).select("k", "x", "y"))
+    near = near.where("y is not null").groupBy("k", "x").agg(F.max(score).alias("score")).where(F.col("score") >= least)
+
+    # rows that share an ``a`` have one best score
+    rows = left.join(near, ["k", "x"])
+    rows = left.join(rows.groupBy("a").agg(F.max("score").alias("best")), "a")
+    within = F.least((1 - F.col("best") + delta) * scale, F.lit((1 - least) * scale))  # sure to be close; one step farther, sure not to be
+    asked = rows.select("k", "x", "best").distinct().withColumns({"inner": within, "gap": (1 - F.col("best")) * scale})
+    asked = asked.withColumns({"first": F.ceil((F.col("x") - F.col("inner")) / step).cast("long"), "last": cell(F.col("x") + F.col("inner")) - 1})
+    cells_of = lambda a, b: F.sequence(cell(F.col("x") + a), cell(F.col("x") + b))
+    gap, inner, wide = F.col("gap"), F.col("inner"), 1.5 * step
+    ends = F.concat(cells_of(-gap - wide, -gap + wide), cells_of(gap - wide, gap + wide), cells_of(-inner - wide, -inner + wide), cells_of(inner - wide, inner + wide))
+    singles = asked.withColumn("cell", F.explode(F.array_distinct(ends))).join(numbers, ["k", "cell"]).withColumn("score", score)
+    close = (F.col("best") - F.col("score") <= delta + 1e-12) & (F.col("score") >= least) & ~F.col("cell").between(F.col("first"), F.col("last"))
+    singles = singles.select("k", "x", "best", F.when(F.col("score") == F.col("best"), F.col("b")).alias("b"), F.when(close, F.col("n")).otherwise(0).alias("n"))
+
+    def cover(level: Column) -> Column:
+        """Nodes of a level that belong to the least number of nodes that make up the cells from first to last."""
+        a, z = -up(-F.col("first"), level), up(F.col("last") + 1, level)
+        node = lambda c: F.struct(level.alias("level"), c.alias("node"))
+        return F.array_compact(F.array(F.when((a < z) & (a.bitwiseAND(F.lit(1)) == 1), node(a)), F.when((a < z) & (z.bitwiseAND(F.lit(1)) == 1), node(z - 1))))
+
+    whole = asked.select("k", "x", "best", F.explode(F.flatten(F.transform(levels, cover))).alias("c")).select("k", "x", "best", "c.level", "c.node")
+    whole = whole.join(nodes.select("k", "level", "node", "n"), ["k", "level", "node"]).select("k", "x", "best", F.lit(None).cast(right.schema["b"].dataType).alias("b"), "n")
+    found = singles.unionByName(whole).groupBy("k", "x", "best").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
+    out = rows.join(found, ["k", "x", "best"]).groupBy("a").agg(F.min("b").alias("b"), F.max("best").alias("score"), F.sum("n").alias("candidates"))
+    return out.withColumn("status", F.when(F.col("candidates") > 1, "ambiguous").otherwise("matched")).unionByName(rest)
+
+
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points within [start, end] of a span: an equi join on cells of ``width``, then the exact test."""
     p = points.withColumn("__cell", F.floor(F.col(at) / width).cast("long"))
