@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, slices, table
 from .components import component_roots
-from .similar import keep_one  # noqa: F401  documents at a similarity beyond the reach of fingerprints
+from .fingerprints import shared_bytes
+from .similar import keep_one  # noqa: F401  documents at a similarity that fingerprints reach in part
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 DENSE = 64
@@ -74,7 +75,7 @@ def links(nodes: DataFrame) -> DataFrame:
     short, dense = index.where(F.col("count") <= DENSE), index.where(F.col("count") > DENSE)
     left, right = short.select("pair", "value", F.col("fp").alias("a")), short.select("pair", "value", F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum(F.when(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(F.lit(255).cast("long")) == 0, 1).otherwise(0) for i in range(8))
+    shared = shared_bytes(F.col("a"), F.col("b"))
     pairs = left.join(right, ["pair", "value"]).where((F.col("a") < F.col("b")) & (shared >= 8 - DISTANCE) & (F.bit_count(differ) <= DISTANCE)).select("a", "b")
     free = F.array(*(F.array(*(F.lit(1 << x if x < 63 else -(1 << 63)) for x in range(64) if 3 - x // 16 not in blocks)) for blocks in pairs_of_blocks))
     near = F.transform(F.element_at(free, F.col("pair") + 1), lambda bit: F.col("fp").bitwiseXOR(bit))

@@ -1,14 +1,16 @@
 """Near duplicates at a stated similarity of word shingles, without loss.
 
-Fingerprints of 64 bits do not reach a Jaccard similarity of 0.8: texts that are so similar differ in up to a dozen bits, and may share no positional byte, so
-no tally of shared bytes finds them.  Candidates come from shingles themselves, by the same three steps, an inverted index, a filter by counts
-that every wanted pair passes, and a verification:
+SimHash fingerprints of 64 bits find most of the pairs with a Jaccard similarity of 0.8, but not all: such texts differ in up to a dozen bits, and may share no
+positional byte.  So texts go by fingerprints first, through an inverted index on positional bytes, a tally of shared bytes and a verification, and an exact way, by
+the same three steps on shingles, follows for the rest:
 
 1.  Texts that are equal but for case and white space are one text.
-2.  Two sets with a similarity of t share at least t of either, so among the n - ceil(t n) + k first shingles of each, in any one order of all shingles, are k common
+2.  An index entry of a fingerprint is a combination of ``MATCH`` of its eight positional bytes.  A list links the texts in it to the first of those that are known to stay (which 3
+    tells); pairs that share MATCH positional bytes, as all within 8 - MATCH bits do, are verified on the whole sets.  What the lists do not link is left to 3 and 4.
+3.  Two sets with a similarity of t share at least t of either, so among the n - ceil(t n) + k first shingles of each, in any one order of all shingles, are k common
     ones.  These are its index entries, k being a twentieth of the shingles; shared entries are tallied for each pair, and pairs with fewer than k are dropped.  Shingles that are frequent in a sample of the texts come last in the order (which changes the size of
     lists and no result), so that a passage that many documents share makes no list unless it is most of them.
-3.  A fingerprint of 2,048 bits has the parity of how many shingles fall on each bit.  Sets that differ in d shingles differ in at most d bits, so pairs with more
+4.  A parity sketch of 2,048 bits has the parity of how many shingles fall on each bit.  Sets that differ in d shingles differ in at most d bits, so pairs with more
     differing bits than the similarity allows shingles are dropped.  What stays is verified on the whole sets.
 
 The first document of a group stays: one goes if a document that stays is before it and similar.  Most of a large group goes at once, with the first of all
@@ -18,16 +20,20 @@ lists that it is in; pairs are formed only of what is left.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain_names, settle, slices
+from .fingerprints import majority_bits, positional_byte, shared_bytes
 
 SHINGLE, SEED = 5, 42
 #: Similarity, as a fraction.
 PART, WHOLE = 4, 5
+#: Positional bytes of a fingerprint in an index entry, and that a pair must share.
+MATCH = 3
 #: Share of its shingles by which an index entry list is longer than need be, and which pairs must then have in common: one in TALLY.
 TALLY = 20
 #: Parity bits; one of SAMPLE texts is counted for the order, and a shingle is frequent from OFTEN of these on.
@@ -100,7 +106,7 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def index(texts: DataFrame) -> DataFrame:
-    """node, n (shingles), entries and parity (longs) of every text that has words."""
+    """node, n (shingles), fp (fingerprint), entries and parity (longs) of every text that has words."""
     often = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def run(batches):
@@ -108,7 +114,7 @@ def index(texts: DataFrame) -> DataFrame:
 
         last = often.value
         for batch in slices(batches):
-            nodes, sizes, entries, parity = [], [], [], []
+            nodes, sizes, prints, entries, parity = [], [], [], [], []
             for k, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                 s = shingle_set(text)
                 if len(s):
@@ -117,10 +123,11 @@ def index(texts: DataFrame) -> DataFrame:
                     parity.append(np.packbits(np.bincount((s >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view("<i8"))
                     nodes.append(k)
                     sizes.append(len(s))
-            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((nodes, sizes, entries, parity), kinds)], names=["node", "n", "entries", "parity"])
+                    prints.append(majority_bits(s))
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((nodes, sizes, prints, entries, parity), kinds)], names=["node", "n", "fp", "entries", "parity"])
 
-    return settle(texts.mapInArrow(run, "node binary, n int, entries array<long>, parity array<long>"), "shingle-index")
+    return settle(texts.mapInArrow(run, "node binary, n int, fp long, entries array<long>, parity array<long>"), "shingle-index")
 
 
 def guaranteed(n):
@@ -170,6 +177,19 @@ def _of_several(postings: DataFrame) -> DataFrame:
     return settle(postings.join(several, brief == F.col("brief"), "left_semi"), "postings")
 
 
+def by_fingerprints(prints: DataFrame, stay: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a staying and a later waiting node (tables of ``node``) that share MATCH positional bytes of their fingerprints in ``prints`` (node, fp).
+
+    A waiting node meets the first staying one of each of its lists, so that there are never more pairs than entries.
+    """
+    entry = lambda n, some: F.lit(n << 8 * MATCH) + sum(positional_byte("fp", i) * (1 << 8 * k) for k, i in enumerate(some))
+    entries = F.explode(F.array(*(entry(n, some) for n, some in enumerate(combinations(range(8), MATCH))))).alias("entry")
+    spread = lambda nodes: prints.join(nodes, "node", "left_semi").select("node", "fp", entries)
+    firsts = settle(spread(stay).groupBy("entry").agg(F.min(F.struct("node", "fp")).alias("first")), "first-of-bytes")
+    pairs = spread(waiting).join(firsts, "entry").where((F.col("first.node") < F.col("node")) & (shared_bytes(F.col("first.fp"), F.col("fp")) >= MATCH))
+    return pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def first_ones(pairs: DataFrame) -> DataFrame:
     """Nodes that go: of ``pairs`` (a before b, similar) b goes if a stays."""
     gone = None
@@ -184,12 +204,12 @@ def first_ones(pairs: DataFrame) -> DataFrame:
 
 
 def similar_to_others(texts: DataFrame) -> list[DataFrame]:
-    """Tables of the nodes of ``texts`` (node, text; each once) that go, because a text that stays is before them and similar."""
+    """Tables of the nodes of ``texts`` (node, text; each once) that go, because a text that stays is before them and similar; the first has those that go by fingerprints."""
     known = index(texts)
     light, gone = known.select("node", "n", "parity"), []
     postings = _of_several(known.select("node", "n", F.explode("entries").alias("entry")))
     with_parity = lambda c: light.select(F.col("node").alias(c), F.struct("n", "parity").alias(f"{c}_row"))
-    for _ in range(ROUNDS):
+    for n in range(ROUNDS):
         if not postings.limit(1).count():
             return gone
         firsts = settle(postings.groupBy("entry").agg(F.min(F.struct("node", "n")).alias("first")), "first-of-lists")
@@ -197,6 +217,11 @@ def similar_to_others(texts: DataFrame) -> list[DataFrame]:
         behind = settle(postings.join(firsts, "entry").where("first.node <> node").select("node", "n", "first"), "behind-firsts")
         waiting = behind.select("node").distinct()
         stay = settle(firsts.select("first.node").distinct().join(waiting, "node", "left_anti"), "staying")
+        if n == 0:
+            pairs = by_fingerprints(known.select("node", "fp"), stay, waiting)
+            pairs = pairs.join(with_parity("a"), "a").join(with_parity("b"), "b").where(may_be_similar("a_row", "b_row")).select("a", "b")
+            gone.append(settle(similar(pairs, texts).select(F.col("b").alias("node")).distinct(), "gone-by-fingerprints"))
+            behind, postings = (x.join(gone[0], "node", "left_anti") for x in (behind, postings))
         # what stays is first in all of its lists, so that the tally has all entries that it shares
         pairs = behind.where(sizes_fit(F.col("n"), F.col("first.n"))).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("tally"), F.min(F.least("n", "first.n")).alias("least"))
         pairs = pairs.where(F.col("tally") >= guaranteed(F.col("least"))).select("a", "b")

@@ -77,3 +77,23 @@ def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", "x", 2.0), (2, "A  B", "y", 3.0), (None, "c", "z", 4.0)], "doc_id long, text string, node string, entry double")
     assert sorted(map(tuple, S.keep_one(df).collect()), key=str) == [(1, "a b", "x", 2.0), (None, "c", "z", 4.0)]
     assert S.keep_one(df.limit(0)).columns == df.columns and S.keep_one(df.limit(0)).count() == 0
+
+
+def test_fingerprints_come_first(spark):
+    """Nodes whose fingerprints differ in up to 8 - MATCH bits meet through positional bytes; near copies go by fingerprints before lists of shingles are paired."""
+    r = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [r.getrandbits(64) for _ in range(40)]
+    copies = [base[i % 40] ^ sum(1 << b for b in r.sample(range(64), i % 6)) for i in range(400)]
+    prints = spark.createDataFrame([(f"a{i:03}".encode(), signed(x)) for i, x in enumerate(base)] + [(f"b{i:03}".encode(), signed(x)) for i, x in enumerate(copies)], "node binary, fp long")
+    some = lambda kind: prints.where(f"node like '{kind}%'").select("node")
+    got = {(bytes(x.a), bytes(x.b)) for x in S.by_fingerprints(prints, some("a"), some("b")).collect()}
+    assert {(f"a{i % 40:03}".encode(), f"b{i:03}".encode()) for i in range(400)} <= got
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(20):
+        text = [word() for _ in range(300)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], word()]))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select(S.node(S.F.col("doc_id"), S.F.col("text")).alias("node"), "text")
+    first = S.similar_to_others(texts)[0]
+    assert first.count() >= 15 and plain_kept(rows) == list(range(0, 40, 2))
